@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.text import loose_key
+from framelake.llm.diverse import sample_size, varied_subset
 from framelake.llm.grouping import assign_splits, record_groups
+from framelake.llm.neighbours import nearest, similar_pairs
 from framelake.llm.ranking import pair_counts, rank_items, upsets
 from framelake.session import cut_lineage, table
 
@@ -46,5 +48,22 @@ def p5_splits(spark: SparkSession, root: str) -> DataFrame:
     return assign_splits(groups, SHARES, "kind").select("pair_id", "group_id", "split")
 
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
+VECTOR = 64
+ALIKE = 0.95
+SUBSET_SHARE = 0.1
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = similar_pairs(nearest(table(spark, root, "samples"), "sample_id", "vector", VECTOR, k=10, least=ALIKE))
+    return pairs.select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
+
+
+def p4_subset(spark: SparkSession, root: str) -> DataFrame:
+    samples = table(spark, root, "samples")
+    count = sample_size(samples.count(), SUBSET_SHARE)
+    chosen = varied_subset(samples.select("sample_id", "vector"), "sample_id", "vector", VECTOR, count)
+    return chosen.select(F.col("id").alias("sample_id"), "density", "weight")
+
+
+QUERIES = {"p3_found": p3_found, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
 SQL: dict[str, str] = {}
