@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from framelake.functions.text import loose_key
 from framelake.llm.diverse import sample_size, varied_subset
 from framelake.llm.grouping import assign_splits, record_groups
+from framelake.llm.leaks import leaks
 from framelake.llm.neighbours import nearest, similar_pairs
+from framelake.llm.packing import divided, pack, token_counts
 from framelake.llm.ranking import pair_counts, rank_items, upsets
 from framelake.session import cut_lineage, table
 
@@ -65,5 +67,21 @@ def p4_subset(spark: SparkSession, root: str) -> DataFrame:
     return chosen.select(F.col("id").alias("sample_id"), "density", "weight")
 
 
-QUERIES = {"p3_found": p3_found, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
+def _packed(spark: SparkSession, root: str) -> DataFrame:
+    return pack(cut_lineage(token_counts(table(spark, root, "documents"), "doc_id", "text")))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return divided(_packed(spark, root)).select(F.col("id").alias("doc_id"))
+
+
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    return _packed(spark, root).select(F.col("id").alias("doc_id"), "part", F.col("size").alias("tokens"), "container")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+
+
+QUERIES = {"p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
 SQL: dict[str, str] = {}
