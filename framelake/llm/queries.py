@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framelake.functions.text import loose_key
 from framelake.llm.diverse import sample_size, varied_subset
 from framelake.llm.grouping import assign_splits, record_groups
+from framelake.llm.language import label_languages, train, wrong_labels
 from framelake.llm.leaks import leaks
 from framelake.llm.neighbours import nearest, similar_pairs
 from framelake.llm.packing import divided, pack, token_counts
@@ -83,5 +84,20 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
+def _languages(spark: SparkSession, root: str):
+    documents = table(spark, root, "documents").select("doc_id", "text", "lang")
+    model = train(documents, "text", "lang", table(spark, root, "lang_reference"), "text", "lang")
+    return documents, model, label_languages(documents, "doc_id", "text", model)
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    documents, model, found = _languages(spark, root)
+    return wrong_labels(documents, "doc_id", "lang", found, model.languages)
+
+
+def p9_stretches(spark: SparkSession, root: str) -> DataFrame:
+    return _languages(spark, root)[2]
+
+
+QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
 SQL: dict[str, str] = {}
