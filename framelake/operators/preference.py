@@ -41,7 +41,7 @@ def strongest_labels(events: DataFrame) -> DataFrame:
 
     ``events``: ``media``, ``label``, ``created_at``, ``id``.
     """
-    order = F.struct(F.abs("label"), -F.unix_micros("created_at"), -F.col("id"))
+    order = F.struct(F.abs("label"), -F.unix_micros(F.col("created_at").cast("timestamp")), -F.col("id"))
     return events.where("label <> 0").groupBy("media").agg(F.max_by("label", order).alias("label"))
 
 

@@ -151,4 +151,4 @@ def cap_near_duplicates(ranked: DataFrame, cap: int, threshold: float = NEAR_DUP
                 keep.append(r.Index), names.append(key)
         return rows.loc[keep].drop(columns=["vector"]).assign(anchor=names)
 
-    return ranked.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return ranked.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: run(rows.drop(columns=["_all"])), schema)
