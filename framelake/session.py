@@ -27,14 +27,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, forget: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and return the stored rows.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is
     absent (tests, a laptop) a temporary folder is used. The files outlive any lost executor.
+
+    A stored plan keeps the size estimate of the plan before it. The estimate of a join is a product, so over
+    the rounds of an iteration it becomes a number of millions of digits; ``forget`` drops it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "framelake-checkpoints"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "framelake-checkpoints"))
+    stored = df.checkpoint(eager=True)
+    if not forget:
+        return stored
+    plan = stored._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), stored._jdf.schema(), False), spark)
