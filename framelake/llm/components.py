@@ -26,13 +26,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the graph. Raises if ``rounds`` isn't enough.
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = cut_lineage(now), None
+    now, before = cut_lineage(now, forget=True), None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _star(large)
         joined = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = cut_lineage(joined.where("u <> v").distinct())
+        now = cut_lineage(joined.where("u <> v").distinct(), forget=True)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.col("u") % 1000003), F.sum(F.col("v") % 1000003), F.bit_xor(F.xxhash64("u", "v"))).head()
         if mark == before:
             break

@@ -2,7 +2,7 @@
 
 Strengths maximise a penalised likelihood of comparisons with draws and an advantage for the item shown first
 (Davidson and Beaver's form): with strengths x and y, first-position term d and draw term n the weights of
-"first wins", "second wins" and "draw" are exp(x + d), exp(y) and exp(n + (x + y) / 2). The function is
+"first wins", "second wins" and "draw" are exp(x + d), exp(y) and exp(n + (x + d + y) / 2). The function is
 concave, so the Newton steps below end at its one maximum. Both terms are left out of a context in which no
 draw, or no comparison with a known first item, occurs.
 
@@ -135,71 +135,78 @@ def _solve(penalty: float):
 ITEMS = "context string, item string, strength double, stderr double, votes long, first_term double, draw_term double"
 
 
-def _dot(rows: DataFrame, *pairs: tuple[str, Column]) -> DataFrame:
-    return rows.groupBy("context").agg(*[F.sum(c).alias(n) for n, c in pairs])
+#: Names of the two extra unknowns of a context, kept beside its items; no item key starts with this mark.
+_FIRST, _DRAW = "\x01first", "\x01draw"
 
 
-def _solve_spread(pairs: DataFrame, penalty: float, steps: int = 12, inner: int = 20) -> DataFrame:
+def _solve_spread(pairs: DataFrame, penalty: float, steps: int = 30, inner: int = 25) -> DataFrame:
     """The same maximum for contexts of any size: Newton steps by preconditioned conjugate gradients over DataFrames.
 
-    Every product with the curvature is one pass over the pairs; scalars are kept per context. The two extra
-    terms take a Newton step of their own after each step of the strengths.
+    The unknowns are rows; the first-position and draw terms are two more rows of each context. A product with
+    the curvature is one pass over the pairs, whose sums combine before the shuffle.
     """
-    order = F.when(~F.col("known"), F.lit(0.0)).when("first_a", F.lit(1.0)).otherwise(F.lit(-1.0))
-    pairs = cut_lineage(pairs.select("context", "a", "b", order.alias("o"), "wa", "wb", "wd", "n"))
+    order = F.when(~F.col("known"), F.lit(0.0)).when(F.col("first_a"), F.lit(1.0)).otherwise(F.lit(-1.0))
+    pairs = cut_lineage(pairs.select("context", "a", "b", order.alias("o"), "wa", "wb", "wd", (F.col("wa") + F.col("wb") + F.col("wd")).alias("t"), "n"), forget=True)
     ends = pairs.select("context", F.explode(F.array("a", "b")).alias("item"), "n")
-    items = cut_lineage(ends.groupBy("context", "item").agg(F.sum("n").alias("votes")).withColumn("x", F.lit(0.0)))
-    flags = pairs.groupBy("context").agg(F.max(F.col("o") != 0).alias("has_o"), (F.max("wd") > 0).alias("has_d"))
-    terms = cut_lineage(flags.select("context", "has_o", "has_d", F.lit(0.0).alias("d"), F.lit(0.0).alias("e")))
+    flags = pairs.groupBy("context").agg(F.max(F.col("o") != 0).cast("double").alias("uo"), (F.max("wd") > 0).cast("double").alias("ud"))
+    extra = flags.select("context", F.explode(F.array(F.lit(_FIRST), F.lit(_DRAW))).alias("item"), F.lit(0).cast("long").alias("votes"))
+    items = cut_lineage(ends.groupBy("context", "item").agg(F.sum("n").alias("votes")).unionByName(extra).withColumn("x", F.lit(0.0)), forget=True)
 
-    def meet(value: DataFrame, names: list[str]) -> DataFrame:
-        left = value.select("context", F.col("item").alias("a"), *[F.col(n).alias(n + "_a") for n in names])
-        right = value.select("context", F.col("item").alias("b"), *[F.col(n).alias(n + "_b") for n in names])
-        return pairs.join(left, ["context", "a"]).join(right, ["context", "b"])
+    def meet(rows: DataFrame, value: DataFrame, name: str) -> DataFrame:
+        def part(item: str, to: str) -> DataFrame:
+            return value.where(F.col("item") == item).select("context", F.col(name).alias(to))
 
-    def scatter(rows: DataFrame, value: Column, both: Column | None = None) -> DataFrame:
-        out = rows.select("context", F.explode(F.array(F.struct(F.col("a").alias("item"), value.alias("v"), (both if both is not None else F.lit(0.0)).alias("c")), F.struct(F.col("b").alias("item"), (-value).alias("v"), (both if both is not None else F.lit(0.0)).alias("c")))).alias("q"))
-        return out.select("context", "q.*").groupBy("context", "item").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
+        left, right = value.select("context", F.col("item").alias("a"), F.col(name).alias("va")), value.select("context", F.col("item").alias("b"), F.col(name).alias("vb"))
+        return rows.join(left, ["context", "a"]).join(right, ["context", "b"]).join(part(_FIRST, "vo"), "context").join(part(_DRAW, "vd"), "context")
 
-    half = (F.col("x_a") - F.col("x_b") + F.col("o") * F.col("d")) / 2
-    e3 = F.when(F.col("has_d"), F.exp("e")).otherwise(F.lit(0.0))
+    def scatter(rows: DataFrame, half: Column, third: Column, bend: Column, bend3: Column) -> DataFrame:
+        def to(item: Column, v: Column, c: Column) -> Column:
+            return F.struct(item.alias("item"), v.alias("v"), c.alias("c"))
+
+        o = F.col("o")
+        parts = F.array(to(F.col("a"), half, bend), to(F.col("b"), -half, bend), to(F.lit(_FIRST), o * half, o * o * bend), to(F.lit(_DRAW), third, bend3))
+        return rows.select("context", F.explode(parts).alias("q")).select("context", "q.*").groupBy("context", "item").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
+
+    half = (F.col("va") - F.col("vb") + F.col("o") * F.col("vo")) / 2
+    e3 = F.col("ud") * F.exp("vd")
     norm = F.exp(half) + F.exp(-half) + e3
-    total = F.col("wa") + F.col("wb") + F.col("wd")
-    p1, p2, p3 = F.exp(half) / norm, F.exp(-half) / norm, e3 / norm
-    slope = (F.col("wa") - F.col("wb")) / 2 - total * (p1 - p2) / 2
-    bend = total * ((p1 + p2) / 4 - F.pow((p1 - p2) / 2, 2))
-    for step in range(steps):
-        at = meet(items, ["x"]).join(terms, "context")
-        at = cut_lineage(at.select("context", "a", "b", "o", slope.alias("slope"), bend.alias("bend"), (F.col("wd") - total * p3).alias("s3"), (total * p3 * (1 - p3)).alias("h3")))
-        grad = scatter(at, F.col("slope"), F.col("bend"))
+    t, p1, p2, p3 = F.col("t"), F.col("p1"), F.col("p2"), F.col("p3")
+    for _ in range(steps):
+        at = meet(pairs, items, "x").join(flags, "context")
+        at = at.select("context", "a", "b", "o", "ud", "wa", "wb", "wd", "t", (F.exp(half) / norm).alias("p1"), (F.exp(-half) / norm).alias("p2"), (e3 / norm).alias("p3"))
+        at = cut_lineage(at, forget=True)
+        grad = scatter(at, ((F.col("wa") - t * p1) - (F.col("wb") - t * p2)) / 2, F.col("ud") * (F.col("wd") - t * p3), t * ((p1 + p2) / 4 - F.pow((p1 - p2) / 2, 2)), t * p3 * (1 - p3))
         state = items.join(grad, ["context", "item"]).select("context", "item", "votes", "x", (F.col("v") - penalty * F.col("x")).alias("r"), (F.col("c") + penalty).alias("g"))
-        state = cut_lineage(state.select("*", F.lit(0.0).alias("s"), (F.col("r") / F.col("g")).alias("p")))
-        moved = None
+        state = cut_lineage(state.select("*", F.lit(0.0).alias("s"), (F.col("r") / F.col("g")).alias("p")), forget=True)
+        start = None
         for _ in range(inner):
-            left = state.select("context", F.col("item").alias("a"), F.col("p").alias("p_a"))
-            right = state.select("context", F.col("item").alias("b"), F.col("p").alias("p_b"))
-            bent = scatter(at.select("context", "a", "b", "bend").join(left, ["context", "a"]).join(right, ["context", "b"]), F.col("bend") * (F.col("p_a") - F.col("p_b"))).drop("c")
-            state = cut_lineage(state.join(bent, ["context", "item"]).withColumn("q", F.col("v") + penalty * F.col("p")).drop("v"))
-            pace = _dot(state, ("rz", F.col("r") * F.col("r") / F.col("g")), ("pq", F.col("p") * F.col("q")))
-            pace = pace.select("context", "rz", F.when(F.col("pq") > 0, F.col("rz") / F.col("pq")).otherwise(F.lit(0.0)).alias("k"))
-            state = state.join(pace, "context").select("context", "item", "votes", "x", "g", "rz", "p", (F.col("s") + F.col("k") * F.col("p")).alias("s"), (F.col("r") - F.col("k") * F.col("q")).alias("r"))
-            turn = _dot(state, ("new", F.col("r") * F.col("r") / F.col("g")))
-            ratio = F.when(F.col("rz") > 0, F.col("new") / F.col("rz")).otherwise(F.lit(0.0))
-            state = cut_lineage(state.join(turn, "context").withColumn("p", F.col("r") / F.col("g") + ratio * F.col("p")))
-            if (state.agg(F.max("new")).head()[0] or 0.0) < 1e-12:
+            d1 = (F.col("va") - F.col("vb") + F.col("o") * F.col("vo")) / 2
+            d3 = F.col("ud") * F.col("vd")
+            mean = (p1 - p2) * d1 + p3 * d3
+            bent = scatter(meet(at, state, "p"), (t * p1 * (d1 - mean) - t * p2 * (-d1 - mean)) / 2, F.col("ud") * t * p3 * (d3 - mean), F.lit(0.0), F.lit(0.0)).drop("c")
+            mid = cut_lineage(state.join(bent, ["context", "item"]).withColumn("q", F.col("v") + penalty * F.col("p")).drop("v"), forget=True)
+            r, q, g = F.col("r"), F.col("q"), F.col("g")
+            # with z = r / g both the step and the turn follow from these sums of one pass
+            sums = mid.groupBy("context").agg(F.sum(r * r / g).alias("rz"), F.sum(F.col("p") * q).alias("pq"), F.sum(r * q / g).alias("rq"), F.sum(q * q / g).alias("qq"))
+            k = F.when(F.col("pq") > 0, F.col("rz") / F.col("pq")).otherwise(F.lit(0.0))
+            sums = sums.withColumn("k", k).withColumn("new", F.greatest(F.lit(0.0), F.col("rz") - 2 * F.col("k") * F.col("rq") + F.col("k") * F.col("k") * F.col("qq")))
+            sums = cut_lineage(sums, forget=True)
+            turn = F.when(F.col("rz") > 0, F.col("new") / F.col("rz")).otherwise(F.lit(0.0))
+            rest = r - F.col("k") * q
+            state = mid.join(sums, "context").select("context", "item", "votes", "x", "g", (F.col("s") + F.col("k") * F.col("p")).alias("s"), rest.alias("r"), (rest / g + turn * F.col("p")).alias("p"))
+            was, now = sums.agg(F.max("rz"), F.max("new")).head()
+            start = start if start is not None else was
+            if not now or now < 1e-8 * start:
                 break
-            state = state.drop("rz", "new")
+        state = cut_lineage(state, forget=True)
         moved = state.agg(F.max(F.abs("s"))).head()[0] or 0.0
         damp = min(1.0, 2.0 / moved) if moved else 1.0
-        items = cut_lineage(state.select("context", "item", "votes", (F.col("x") + damp * F.col("s")).alias("x"), "g"))
-        shift = at.groupBy("context").agg(F.sum(F.col("o") * F.col("slope")).alias("go"), F.sum(F.col("o") * F.col("o") * F.col("bend")).alias("ho"), F.sum("s3").alias("gd"), F.sum("h3").alias("hd"))
-        do = F.when(F.col("has_o"), (F.col("go") - penalty * F.col("d")) / (F.col("ho") + penalty)).otherwise(F.lit(0.0))
-        de = F.when(F.col("has_d"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("gd") - penalty * F.col("e")) / (F.col("hd") + penalty)))).otherwise(F.lit(0.0))
-        terms = cut_lineage(terms.join(shift, "context").select("context", "has_o", "has_d", (F.col("d") + do).alias("d"), (F.col("e") + de).alias("e"), F.greatest(F.abs(do), F.abs(de)).alias("change")))
-        if damp * moved < 1e-6 and (terms.agg(F.max("change")).head()[0] or 0.0) < 1e-6:
+        items = cut_lineage(state.select("context", "item", "votes", (F.col("x") + damp * F.col("s")).alias("x"), "g"), forget=True)
+        if moved < 1e-4:  # the steps are of second order: what is left is far below
             break
-        terms = terms.drop("change")
-    return items.join(terms, "context").select("context", "item", F.col("x").alias("strength"), (1 / F.sqrt("g")).alias("stderr"), "votes", F.col("d").alias("first_term"), F.col("e").alias("draw_term"))
+    terms = [items.where(F.col("item") == n).select("context", F.col("x").alias(to)) for n, to in ((_FIRST, "first_term"), (_DRAW, "draw_term"))]
+    found = items.where((F.col("item") != _FIRST) & (F.col("item") != _DRAW)).join(terms[0], "context").join(terms[1], "context")
+    return found.select("context", "item", F.col("x").alias("strength"), (1 / F.sqrt("g")).alias("stderr"), "votes", "first_term", "draw_term")
 
 
 def rank_items(pairs: DataFrame, penalty: float = PENALTY, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
