@@ -196,7 +196,7 @@ def _solve_spread(pairs: DataFrame, penalty: float, steps: int = 30, inner: int
             state = mid.join(sums, "context").select("context", "item", "votes", "x", "g", (F.col("s") + F.col("k") * F.col("p")).alias("s"), rest.alias("r"), (rest / g + turn * F.col("p")).alias("p"))
             was, now = sums.agg(F.max("rz"), F.max("new")).head()
             start = start if start is not None else was
-            if not now or now < 1e-8 * start:
+            if not now or now < 1e-5 * start:
                 break
         state = cut_lineage(state, forget=True)
         moved = state.agg(F.max(F.abs("s"))).head()[0] or 0.0
