@@ -5,10 +5,11 @@ nearest signed axis; two such hashes give a bucket of one table. Every vector is
 asks its own bucket and the next best ones. Candidates are collected with vectors of one byte a component and
 ranked again by exact cosines.
 
-Three kinds of groups stay bounded. Copies of one vector are collapsed: only the ``k + 1`` least ids of a
+Two kinds of groups stay bounded. Copies of one vector are collapsed: only the ``k + 1`` least ids of a
 group of copies can be among anybody's ``k`` most similar (ties go to the lesser id), so the others only take
-over the list of their group. A bucket with more than ``BUCKET_ROWS`` entries is hashed again around its own
-centre. What is still larger is searched completely, in a grid of blocks.
+over the list of their group. A bucket with more than ``BUCKET_ROWS`` entries is searched completely, in a grid of
+blocks: nothing is lost in a dense group, whose members differ only by noise that no hash can order, at a cost
+that is quadratic in that group.
 """
 
 from __future__ import annotations
@@ -118,21 +119,6 @@ def _hash(size: int, tables: int, hashes: int, probes: int, seed: int):
     return run
 
 
-def _rehash(hashes: int, probes: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x = _units(b["q"]) - _matrix(b["centre"])
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            keys = buckets(x, rotations(x.shape[1], hashes, seed), hashes, probes)[:, 0, :]
-            stored = b["stored"].to_numpy()
-            for p in range(keys.shape[1]):
-                yield pd.DataFrame({"id": b["id"], "bucket": b["bucket"], "sub": keys[:, p], "stored": stored & (p == 0), "q": b["q"]})
-
-    return run
-
-
 CANDIDATES = "a long, b long"
 
 
@@ -224,21 +210,10 @@ def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: f
     keep = 2 * k
     counts = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     big = cut_lineage(counts.where(F.col("n") > bucket_rows))
-    if big.isEmpty():
-        found = _runs(hashed, ["bucket"], keep, rough)
-    else:
-        # at most rows / bucket_rows buckets are big; the join is shuffled, its large side split by the adaptive planner
-        found = _runs(hashed.join(big, "bucket", "left_anti"), ["bucket"], keep, rough)
-        crowded = hashed.join(big.select("bucket"), "bucket")
-        sums = crowded.mapInPandas(_centres, "bucket long, total array<double>, n long")
-        parts = sums.select("bucket", "n", F.posexplode("total")).groupBy("bucket", "pos").agg(F.sum("col").alias("s"), F.sum("n").alias("n"))
-        centre = parts.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("v")))), lambda x: x["v"].cast("float")).alias("centre"))
-        finer = cut_lineage(crowded.join(centre, "bucket").mapInPandas(_rehash(hashes, probes, seed + 1), "id long, bucket long, sub long, stored boolean, q binary"))
-        inner = finer.groupBy("bucket", "sub").agg(F.count(F.lit(1)).alias("n"))
-        still = cut_lineage(inner.where(F.col("n") > bucket_rows))
-        found = found.unionByName(_runs(finer.join(still, ["bucket", "sub"], "left_anti"), ["bucket", "sub"], keep, rough))
-        if not still.isEmpty():
-            found = found.unionByName(_grid(finer.join(still.select("bucket", "sub"), ["bucket", "sub"]), still, ["bucket", "sub"], keep, rough, bucket_rows))
+    # at most rows / bucket_rows buckets are crowded; the joins are shuffled, their large side split by the adaptive planner
+    found = _runs(hashed.join(big.select("bucket"), "bucket", "left_anti"), ["bucket"], keep, rough)
+    if not big.isEmpty():
+        found = found.unionByName(_grid(hashed, big, ["bucket"], keep, rough, bucket_rows))
     pairs = found.distinct()
     a, b = kept.select(F.col("id").alias("a"), F.col("vector").alias("va")), kept.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
     met = pairs.join(a, "a").join(b, "b")
@@ -258,18 +233,6 @@ def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: f
     return first.unionByName(rest)
 
 
-def _centres(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of stored vectors per bucket and batch, so that a bucket's centre combines before its shuffle."""
-    for b in batches:
-        b = b[b["stored"]]
-        if len(b):
-            x = _units(b["q"]).astype(np.float64)
-            names, at = np.unique(b["bucket"].to_numpy(), return_inverse=True)
-            total = np.zeros((len(names), x.shape[1]))
-            np.add.at(total, at, x)
-            yield pd.DataFrame({"bucket": names, "total": list(total), "n": np.bincount(at)})
-
-
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """Unordered pairs (``a`` < ``b``) of which one is among the most similar of the other."""
     return neighbours.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
