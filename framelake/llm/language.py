@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 LENGTHS = (1, 2, 3, 4)
 LANDMARKS = 1500
 RIDGE = 0.005
-#: Documented bounds of what the classifier is fitted on: labelled sentences, and labelled documents (those with
-#: the least hashes, of at most FIT_CHARS characters) for each language.
+#: Documented bounds of what the classifier is fitted on: labelled sentences, and labelled documents (of at most
+#: FIT_CHARS characters, those with the least hash of each of as many slots of hashes) for each language.
 FIT_SENTENCES = 20_000
 FIT_DOCUMENTS = 120
 FIT_CHARS = 3_000
@@ -208,18 +208,16 @@ def named_language(label: str | None, languages: list[str]) -> str | None:
 
 def train(documents: DataFrame, text: str, label: str, reference: DataFrame, ref_text: str, ref_label: str) -> Model:
     """Fit on at most ``FIT_SENTENCES`` reference sentences and ``FIT_DOCUMENTS`` labelled documents per language."""
-    from pyspark.sql import Window
-
     rows = reference.where(f"{ref_text} is not null and {ref_label} is not null").orderBy(F.xxhash64(ref_text), ref_text).limit(FIT_SENTENCES)
     sentences = [(r[0], r[1]) for r in rows.select(ref_text, ref_label).toLocalIterator()]
     languages = sorted({lang for _, lang in sentences})
     short = F.substring(F.lower(F.trim(F.col(label))), 1, 2)
     usable = documents.select(short.alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(languages) & (F.length("text") <= FIT_CHARS))
-    # the least hashes: the threshold of a first count keeps what is ranked small
-    spread = usable.withColumn("h", F.xxhash64("text")).withColumn("salt", F.pmod("h", F.lit(64)))
-    few = spread.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "text"))).where(F.col("r") <= FIT_DOCUMENTS)
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= FIT_DOCUMENTS)
-    return fit_with_documents(sentences, [(r[0], r[1]) for r in few.orderBy("lang", "r").select("text", "lang").collect()])
+    # one document for each language and slot of hashes: first its hash, by a small aggregation, then its text
+    keyed = usable.withColumn("h", F.xxhash64("text"))
+    least = keyed.groupBy("lang", F.pmod("h", F.lit(FIT_DOCUMENTS)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
+    few = keyed.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return fit_with_documents(sentences, [(r[0], r[1]) for r in few.orderBy("lang", "h").select("text", "lang").collect()])
 
 
 def label_languages(documents: DataFrame, doc_id: str, text: str, model: Model, lead: float = LEAD, least_words: int = LEAST_WORDS) -> DataFrame:
