@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LONG = 1000
+
 
 def overlap_join(left: DataFrame, right: DataFrame, entity: str, width: float) -> DataFrame:
     """Pairs of intervals of one entity with ``l_start < r_end`` and ``l_end > r_start``; touching ones don't match.
 
     ``left`` has ``entity``, ``l_start``, ``l_end``; ``right`` the same with ``r_``. Every interval is listed under
     each bucket of ``width`` it reaches into; a pair is kept in the bucket in which the later of both starts. Null
-    or NaN bounds match nothing. Choose a width near the usual length of the intervals.
+    or NaN bounds match nothing. Choose a width near the usual length of the intervals: those over ``LONG`` buckets
+    aren't listed but meet all intervals of their entity.
     """
 
+    def fine(rows: DataFrame, a: str, z: str) -> DataFrame:
+        good = rows.where(F.col(a).isNotNull() & F.col(z).isNotNull() & ~F.isnan(a) & ~F.isnan(z) & (F.col(z) >= F.col(a)))
+        return good.withColumn("_long", (F.col(z) - F.col(a)) / width > LONG)
+
     def listed(rows: DataFrame, a: str, z: str) -> DataFrame:
-        fine = rows.where(F.col(a).isNotNull() & F.col(z).isNotNull() & ~F.isnan(a) & ~F.isnan(z) & (F.col(z) >= F.col(a)))
-        return fine.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(z) / width))))
+        return rows.where("not _long").drop("_long").withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(z) / width))))
 
-    met = listed(left, "l_start", "l_end").join(listed(right, "r_start", "r_end"), [entity, "_b"])
-    met = met.where((F.col("l_start") < F.col("r_end")) & (F.col("l_end") > F.col("r_start")))
-    return met.where(F.col("_b") == F.floor(F.greatest("l_start", "r_start") / width)).drop("_b")
+    left, right = fine(left, "l_start", "l_end"), fine(right, "r_start", "r_end")
+    meets = (F.col("l_start") < F.col("r_end")) & (F.col("l_end") > F.col("r_start"))
+    met = listed(left, "l_start", "l_end").join(listed(right, "r_start", "r_end"), [entity, "_b"]).where(meets)
+    met = met.where(F.col("_b") == F.floor(F.greatest("l_start", "r_start") / width)).drop("_b")
+    one = left.where("_long").drop("_long").join(right.drop("_long"), entity).where(meets)
+    two = left.where("not _long").drop("_long").join(right.where("_long").drop("_long"), entity).where(meets)
+    return met.unionByName(one).unionByName(two)
 
 
 def overlapping_point(rows: DataFrame, start: Column, end: Column, a: float, z: float) -> DataFrame:
@@ -77,3 +87,27 @@ def even_crop(width: Column, height: Column, x: Column, y: Column, w: Column, h:
 
     (left, right), (top_, bottom) = edges(width, x, w), edges(height, y, h)
     return {"left": left, "top": top_, "width": right - left, "height": bottom - top_}
+
+
+def boundary_basis(rows: DataFrame, tolerance: float) -> DataFrame:
+    """How far an imported interval can be trusted: ``basis`` and ``basis_tolerance_s``.
+
+    Needs ``start_s``, ``end_s``, ``fps`` and of a probed copy ``probe_width``, ``probe_duration_s`` (null: not
+    probed). A small copy as long as the interval, within a frame and 0.05 s, confirms it to a frame;
+    otherwise the catalogue's times hold with the greater of ``tolerance`` and the difference.
+    """
+    frame = F.when(F.col("fps") > 0, 1.0 / F.col("fps")).otherwise(F.lit(0.05))
+    delta = F.abs(F.col("probe_duration_s") - (F.col("end_s") - F.col("start_s")))
+    exact = F.coalesce((F.col("probe_width") <= 1920) & (delta <= frame + 0.05), F.lit(False))
+    loose = F.coalesce(F.greatest(F.lit(float(tolerance)), delta), F.lit(float(tolerance)))
+    return rows.withColumn("basis", F.when(exact, "library_probe").otherwise("catalogue_tc")).withColumn("basis_tolerance_s", F.when(exact, frame).otherwise(loose))
+
+
+def resolve_times(items: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """Segment-relative times (``in_s``, ``out_s``) as source times, with ``error`` where a span is unknown or too short.
+
+    ``spans``: ``key``, ``base_start_s``, ``base_end_s``, one row a key.
+    """
+    met = items.join(spans.select(key, "base_start_s", "base_end_s"), key, "left")
+    error = F.when(F.col("base_start_s").isNull(), "unknown span").when(F.col("out_s") > F.col("base_end_s") - F.col("base_start_s"), "beyond the span")
+    return met.withColumn("source_in_s", F.col("base_start_s") + F.col("in_s")).withColumn("source_out_s", F.col("base_start_s") + F.col("out_s")).withColumn("error", error)

@@ -174,3 +174,21 @@ def withdraw(profiles: DataFrame, contexts: DataFrame) -> DataFrame:
     """Deactivate the profiles of contexts whose confirmed evidence was taken back."""
     gone = contexts.select("context").distinct().withColumn("_g", F.lit(True))
     return profiles.join(F.broadcast(gone), "context", "left").withColumn("active", F.col("active") & F.col("_g").isNull()).drop("_g")
+
+
+def invalid_events(events: DataFrame) -> DataFrame:
+    """Feedback events that may not be appended, with the ``reason``.
+
+    A comparison needs kind and id together and belongs to ``prefer`` alone, which can't do without; a rating
+    needs a value of 1 to 5; the context must be a JSON object.
+    """
+    kind, other = F.col("compared_media_kind").isNotNull(), F.col("compared_media_id").isNotNull()
+    rated = F.coalesce(F.col("value").between(1, 5), F.lit(False))
+    reason = (
+        F.when(kind != other, "half a comparison")
+        .when((F.col("signal") != "prefer") & kind, "comparison without prefer")
+        .when((F.col("signal") == "prefer") & ~kind, "prefer without comparison")
+        .when((F.col("signal") == "rating") & ~rated, "rating outside 1 to 5")
+        .when(F.json_object_keys("context_json").isNull(), "context is no JSON object")
+    )
+    return events.withColumn("reason", reason).where("reason is not null")

@@ -18,6 +18,7 @@ from framelake.streaming.feedback import append_events, event_stream, running_la
 def test_overlap_join_is_brute_force(spark):
     rng = random.Random(5)
     a = [("c" if i % 4 else "d", i, s, s + rng.random() * 9) for i, s in enumerate(rng.uniform(-20, 60) for _ in range(120))] + [("c", 900, None, 1.0), ("c", 901, float("nan"), 1.0), (None, 902, 0.0, 9.0)]
+    a += [('c', 910, -1e9, 1e9), ('d', 911, 5.0, 1e8)]
     left = spark.createDataFrame(a, "k string, l int, l_start double, l_end double")
     right = left.toDF("k", "r", "r_start", "r_end")
     want = {(x[1], y[1]) for x in a for y in a if x[0] and x[0] == y[0] and None not in x and None not in y and x[2] < y[3] and x[3] > y[2]}
@@ -235,3 +236,49 @@ def test_streams(spark, tmp_path):
     assert {r["media"]: r["label"] for r in spark.table("labels").collect()} == {"m": -1.0, "n": 1.0}
     e = spark.sql("select timestamp'2031-01-01 00:10:00' as ts, 'a' as kind")
     assert windowed_counts(e, "ts", "kind").head()["n"] == 1
+
+
+def test_import_times(spark):
+    df = spark.createDataFrame([(1, 0.0, 4.0, 25.0, 1920, 4.05), (2, 0.0, 4.0, 25.0, 3840, 4.0), (3, 0.0, 4.0, 25.0, None, None), (4, 0.0, 4.0, None, 1280, 9.0)], "id int, start_s double, end_s double, fps double, probe_width int, probe_duration_s double")
+    got = {r["id"]: (r["basis"], r["basis_tolerance_s"]) for r in O.boundary_basis(df, 2.0).collect()}
+    assert got == {1: ("library_probe", 0.04), 2: ("catalogue_tc", 2.0), 3: ("catalogue_tc", 2.0), 4: ("catalogue_tc", 5.0)}
+    items = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 9.0), ("b", 0.0, 1.0)], "k string, in_s double, out_s double")
+    spans = spark.createDataFrame([("a", 10.0, 14.0)], "k string, base_start_s double, base_end_s double")
+    got = sorted((r["k"], r["out_s"], r["source_in_s"], r["error"]) for r in O.resolve_times(items, spans, "k").collect())
+    assert got == [("a", 2.0, 11.0, None), ("a", 9.0, 11.0, "beyond the span"), ("b", 1.0, None, "unknown span")]
+
+
+def test_invalid_events(spark):
+    rows = [("prefer", None, "photo", "x", "{}"), ("prefer", None, None, None, "{}"), ("pick", None, "photo", "x", "{}"), ("pick", None, "photo", None, "{}"), ("rating", 6.0, None, None, "{}"), ("rating", None, None, None, "{}"), ("rating", 5.0, None, None, "{}"), ("pick", None, None, None, "[1]"), ("pick", None, None, None, None)]
+    df = spark.createDataFrame(rows, "signal string, value double, compared_media_kind string, compared_media_id string, context_json string")
+    assert P.invalid_events(df).count() == 7
+
+
+def test_model_inputs(spark):
+    from framelake.sources.model_input import VOCABULARY, picture_tensor, prompt_signals, resize, text_tokens
+
+    grey = np.full((300, 448, 3), 77, np.uint8)
+    assert (resize(grey, 224, 224) == 77).all() and picture_tensor(grey).shape == (3, 224, 224)
+    same = np.random.default_rng(0).integers(0, 256, (224, 224, 3)).astype(np.uint8)
+    assert (resize(same, 224, 224) == same).all()
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id int, v array<double>")
+    got = prompt_signals(df, "v", {"story": ([1.0, 0.0], [0.0, 1.0])}).orderBy("id").collect()
+    assert got[0]["story_score"] > 0.99 and got[0]["story_confidence"] == 1.0 and (got[1]["story_score"], got[1]["story_confidence"]) == (0.5, 0.0)
+    try:
+        open(VOCABULARY).close()
+    except OSError:
+        pytest.skip("no vocabulary here")
+    texts = spark.createDataFrame([(1, "a rocket launching into  the sky"), (2, None), (3, "word " * 200)], "id int, t string")
+    t = {r["id"]: r["tokens"] for r in text_tokens(texts, "id", "t").collect()}
+    assert t[1][:9] == [49406, 320, 8383, 8565, 1095, 518, 2390, 49407, 0] and t[2][:3] == [49406, 49407, 0] and len(t[3]) == 77 and t[3][-1] == 49407
+
+
+def test_command_line(data, capsys):
+    from framelake.__main__ import main
+
+    main([])
+    assert "hybrid_topk" in capsys.readouterr().out
+    main(["plan_dense", data, "--json", "--rows", "2"])
+    assert capsys.readouterr().out.count("dense") == 2
+    with pytest.raises(SystemExit):
+        main(["nothing"])
