@@ -26,6 +26,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale > 0, dot(a, b) / scale).when(F.size(a) == F.size(b), F.lit(0.0))
 
 
+def unit(a: Column) -> Column:
+    """The vector over its norm, which is worked out once a row; null for a zero norm."""
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))
+    return F.element_at(scaled, 1)
+
+
 def difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
 

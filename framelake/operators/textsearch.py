@@ -32,11 +32,11 @@ def query_terms(query: str) -> list[str]:
 def tokens(text: Column) -> Column:
     """Words of a text: runs of letters and digits, lower case, without accents."""
     folded = F.lower(F.translate(text, ACCENTED, PLAIN))
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 
 def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def bm25(rows: DataFrame, text: Column, terms: list[str]) -> DataFrame:

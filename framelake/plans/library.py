@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.score import bipolar, overall_quality, pacing_score
 from framelake.functions.text import loose_key, strip_blanks
-from framelake.functions.vector import difference, dot, norm
+from framelake.functions.vector import difference, dot, unit
 from framelake.operators import browse as B
 from framelake.operators import lifecycle as L
 from framelake.operators import overlap as O
@@ -17,7 +17,7 @@ from framelake.operators import sequence as Q
 from framelake.operators import signal as G
 from framelake.operators import textsearch as X
 from framelake.operators.intervals import finite
-from framelake.session import table
+from framelake.session import spread, table
 from framelake.sources.boundary import list_field
 from framelake.sources.media import frame_rate, frame_size, media_kind
 from framelake.streaming.feedback import windowed_counts
@@ -78,7 +78,7 @@ select doc_id, round(bm25, 6) as bm25, cast(hits as integer) as hits, substring(
   row_number() over (order by round(bm25, 9), doc_id) as rank
 from scored where hits > 0 order by round(bm25, 9), doc_id limit 20""")
 def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
-    rows = X.bm25(table(spark, root, "documents").select("doc_id", "text"), F.col("text"), _TERMS)
+    rows = X.bm25(spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id"), F.col("text"), _TERMS)
     best = S.top(rows, TOP, [F.round("bm25", 9), F.col("doc_id")])
     return best.select("doc_id", F.round("bm25", 6).alias("bm25"), "hits", X.snippet(F.col("text")).alias("snippet"), "rank")
 
@@ -92,7 +92,7 @@ select vec_id, round(c, 6) as cosine, round(score, 6) as score, row_number() ove
 def hybrid_topk(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "embeddings")
     scored = S.vector_scores(rows, "embedding", _query_vector(rows, "vec_id", 0, "embedding"))
-    hits = X.bm25(table(spark, root, "documents").select("doc_id", "text"), F.col("text"), _TERMS).select(F.col("doc_id").alias("vec_id"))
+    hits = X.bm25(spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id"), F.col("text"), _TERMS).select(F.col("doc_id").alias("vec_id"))
     best = S.top(S.hybrid(scored, hits, "vec_id"), TOP, [F.desc("score"), F.desc("cosine"), F.col("vec_id")])
     return best.select("vec_id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"), "rank")
 
@@ -128,8 +128,8 @@ n as (select *, sqrt(list_dot_product(v, v)) as size from u), w as (select *, li
 def _units(spark: SparkSession, root: str) -> DataFrame:
     from framelake.functions.vector import searchable
 
-    rows = table(spark, root, "samples").where(searchable(F.col("vector"), 64)).withColumn("_n", norm(F.col("vector"))).where("_n > 0")
-    return rows.withColumn("unit", F.transform("vector", lambda x: x.cast("double") / F.col("_n"))).drop("vector", "_n")
+    rows = table(spark, root, "samples").where(searchable(F.col("vector"), 64) & F.exists("vector", lambda x: x != 0))
+    return rows.withColumn("unit", unit(F.col("vector"))).drop("vector")
 
 
 _ANNOTATED = "case when label is null then null else cast(round(3 + 2 * label) as integer) end as quality, label >= 1 as standout, case when label is null then null else label > -0.9 end as usable"
@@ -160,7 +160,7 @@ select asset_type, sample_id, round(semantic, 6) as semantic, round(text_boost,
 def mixed_search(spark: SparkSession, root: str) -> DataFrame:
     units = _units(spark, root)
     first = units.orderBy("sample_id").select("unit").head()
-    found = X.bm25(table(spark, root, "documents").select("doc_id", "text", "source"), F.col("text"), _TERMS)
+    found = X.bm25(spread(table(spark, root, "documents").select("doc_id", "text", "source"), "doc_id"), F.col("text"), _TERMS)
     plans = found.where(F.col("source").startswith("plan:")).select(F.split("source", ":")[1].try_cast("long").alias("plan_id")).distinct()
     hits = table(spark, root, "item_sequence").join(plans, "plan_id", "left_semi").where("media_id is not null").select("media_id")
     scored = S.vector_scores(units, "unit", first[0] if first else [])

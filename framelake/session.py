@@ -27,6 +27,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table read, dealt out by ``key`` if the files give fewer partitions than there are cores.
+
+    For stages that spend much more time on a row than it takes to move it. Large reads pass unchanged. Only for
+    plans without a shuffle: counting the partitions of others would run them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
 def cut_lineage(df: DataFrame, forget: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and return the stored rows.
 
