@@ -46,19 +46,19 @@ def bm25(rows: DataFrame, text: Column, terms: list[str]) -> DataFrame:
     """
     if not terms:
         return rows.withColumn("bm25", F.lit(0.0)).withColumn("hits", F.lit(0)).limit(0)
-    counted = rows.withColumn("_w", tokens(text)).where("_w is not null")
-    counted = counted.withColumn("_n", F.size("_w")).withColumn("_tf", F.array(*[_count(F.col("_w"), t) for t in terms])).drop("_w")
-    texts = rows.select(tokens(text).alias("_w")).where("_w is not null")
-    seen = [F.sum(F.array_contains("_w", t).cast("long")).alias(f"_d{i}") for i, t in enumerate(terms)]
-    stats = texts.agg(F.count(F.lit(1)).alias("_rows"), F.avg(F.size("_w")).alias("_mean"), *seen)
+    # the words are bound once a row; a filter pushed down would otherwise repeat the split for every term
+    held = F.element_at(F.transform(F.array(tokens(text)), lambda w: F.struct(F.size(w).alias("n"), F.array(*[_count(w, t) for t in terms]).alias("tf"))), 1)
+    counted = rows.where(text.isNotNull()).withColumn("_s", held)
+    seen = [F.sum((F.element_at("_s.tf", i + 1) > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))]
+    stats = counted.agg(F.count(F.lit(1)).alias("_rows"), F.avg("_s.n").alias("_mean"), *seen)
     met = counted.join(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, n = F.element_at("_tf", i + 1), F.col(f"_d{i}")
+        tf, n = F.element_at("_s.tf", i + 1), F.col(f"_d{i}")
         idf = F.log((F.col("_rows") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        score = score + idf * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * F.col("_n") / F.col("_mean")))
-    hits = F.size(F.filter("_tf", lambda x: x > 0))
+        score = score + idf * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * F.col("_s.n") / F.col("_mean")))
+    hits = F.size(F.filter("_s.tf", lambda x: x > 0))
     return met.withColumn("bm25", -score).withColumn("hits", hits).where("hits > 0").select(*rows.columns, "bm25", "hits")
 
 
