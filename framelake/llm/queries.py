@@ -13,7 +13,7 @@ from framelake.llm.leaks import leaks
 from framelake.llm.neighbours import nearest, similar_pairs
 from framelake.llm.packing import divided, pack, token_counts
 from framelake.llm.ranking import pair_counts, rank_items, upsets
-from framelake.session import cut_lineage, table
+from framelake.session import cut_lineage, spread, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -64,12 +64,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 def p4_subset(spark: SparkSession, root: str) -> DataFrame:
     samples = table(spark, root, "samples")
     count = sample_size(samples.count(), SUBSET_SHARE)
-    chosen = varied_subset(samples.select("sample_id", "vector"), "sample_id", "vector", VECTOR, count)
+    chosen = varied_subset(spread(samples.select("sample_id", "vector"), "sample_id"), "sample_id", "vector", VECTOR, count)
     return chosen.select(F.col("id").alias("sample_id"), "density", "weight")
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
-    return pack(cut_lineage(token_counts(table(spark, root, "documents"), "doc_id", "text")))
+    return pack(cut_lineage(token_counts(spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -81,13 +81,13 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+    return leaks(spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
 
 
 def _languages(spark: SparkSession, root: str):
     documents = table(spark, root, "documents").select("doc_id", "text", "lang")
     model = train(documents, "text", "lang", table(spark, root, "lang_reference"), "text", "lang")
-    return documents, model, label_languages(documents, "doc_id", "text", model)
+    return documents, model, label_languages(spread(documents.select("doc_id", "text"), "doc_id"), "doc_id", "text", model)
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
