@@ -2,8 +2,8 @@
 
 Unit vectors pass fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and fall to the
 nearest signed axis; two such hashes give a bucket of one table. Every vector is stored once per table, and
-asks its own bucket and the next best ones. Candidates are collected with vectors of one byte a component and
-ranked again by exact cosines.
+asks its own bucket and the next best ones. Vectors of one byte a component only leave out entries that meet
+nothing near the threshold; inside a bucket the others are compared and ranked by exact cosines.
 
 Two kinds of groups stay bounded. Copies of one vector are collapsed: only the ``k + 1`` least ids of a
 group of copies can be among anybody's ``k`` most similar (ties go to the lesser id), so the others only take
@@ -28,6 +28,7 @@ PROBES = 3
 HASHES = 2
 BUCKET_ROWS = 8192
 SLACK = 0.03
+COMPLETE_BLOCK, COMPLETE_CELLS = 32768, 4
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -91,6 +92,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float32) for v in column.to_numpy()]) if len(column) else np.zeros((0, 1), np.float32)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _bytes(units: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.rint(units * 127 / np.maximum(np.abs(units).max(1, keepdims=True), 1e-12)).astype(np.int8)]
 
@@ -107,8 +113,7 @@ def _hash(size: int, tables: int, hashes: int, probes: int, seed: int):
             x = _matrix(b["vector"])
             if not len(x):
                 continue
-            x = x / np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _scaled(x)
             keys = buckets(x, signs, hashes, probes)
             each = keys.shape[1] * keys.shape[2]
             number = np.tile(np.repeat(np.arange(keys.shape[1]), keys.shape[2]), len(x))
@@ -119,82 +124,145 @@ def _hash(size: int, tables: int, hashes: int, probes: int, seed: int):
     return run
 
 
-CANDIDATES = "a long, b long"
+#: Candidates, and rows that go on to the exact search.
+CANDIDATES, ALIVE = "a long, b long, cosine double", "bucket long, id long, stored boolean"
+CELLS = 1 << 24
+#: More than the greatest error of a scalar product of unit vectors of 64 single-precision components, for each component.
+ROUNDING = 1.2e-7
 
 
-def _best(ids: np.ndarray, x: np.ndarray, kept: np.ndarray, others: np.ndarray, keep: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of every row the ``keep`` best stored rows with a rough cosine of ``least`` or more, in blocks of rows."""
-    for i in range(0, len(ids), 2048):
-        s = x[i : i + 2048] @ kept.T
-        s[ids[i : i + 2048, None] == others[None, :]] = -2
-        if s.shape[1] > keep:
-            floor = np.maximum(np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep], least)
-        else:
-            floor = np.full(len(s), least)
-        r, c = np.nonzero(s >= np.maximum(floor[:, None], -1.5))
-        yield ids[i + r], others[c]
+def _floor(s: np.ndarray, k: int) -> np.ndarray:
+    """Of every row a bound that at least ``k`` entries reach: the ``k``-th best of the maxima of slices."""
+    if s.shape[1] <= k:
+        return np.full(len(s), -1.5)
+    width = s.shape[1] // max(256, 4 * k)
+    if width > 1:
+        slices = s.shape[1] // width
+        s = s[:, : slices * width].reshape(len(s), width, slices).max(1)
+    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
 
 
-def _collect(group: list[str], keep: int, least: float):
-    """Candidates inside each run of equal ``group`` values of sorted partitions; a run is kept until it ends."""
+def _best(ids: np.ndarray, x: np.ndarray, kept: np.ndarray, others: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of every row exactly the ``k`` best stored rows with a cosine of ``least`` or more, ties to the lesser id.
+
+    Single precision only leaves out what its rounding can't bring among the ``k``; the rest is compared in doubles.
+    """
+    order = np.argsort(others, kind="stable")
+    kept, others = kept[order], others[order]
+    single, margin, step = kept.astype(np.float32), ROUNDING * (x.shape[1] + 2), max(1, CELLS // len(kept))
+    for i in range(0, len(ids), step):
+        own, rows = ids[i : i + step], x[i : i + step]
+        s = rows.astype(np.float32) @ single.T
+        place = np.minimum(np.searchsorted(others, own), len(others) - 1)
+        same = np.nonzero(others[place] == own)[0]
+        s[same, place[same]] = -2
+        near = s >= np.maximum(_floor(s, k) - 2 * margin, max(least - margin, -1.5))[:, None]
+        count = near.sum(1)
+        # few: only those; many, as in a group of near copies: the whole row in doubles
+        many = np.nonzero(count > 64 * k)[0]
+        near[many] = False
+        r, c = np.nonzero(near)
+        value = np.einsum("ij,ij->i", rows[r], kept[c])
+        for j in range(0, len(many), max(1, step // 4)):
+            at = many[j : j + max(1, step // 4)]
+            t = rows[at] @ kept.T
+            t[others[None, :] == own[at, None]] = -2
+            t = t.round(12)
+            bound = np.partition(t, t.shape[1] - k, axis=1)[:, t.shape[1] - k][:, None]
+            above, tie = t > bound, t == bound
+            pick = above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - above.sum(1)[:, None]))
+            q, d = np.nonzero(pick)
+            r, c, value = np.append(r, at[q]), np.append(c, d), np.append(value, np.einsum("ij,ij->i", rows[at[q]], kept[d]))
+        r, c, value = (v[value >= least] for v in (r, c, value))
+        sort = np.lexsort((c, -value.round(12), r))
+        r, c, value = r[sort], c[sort], value[sort]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        yield own[r[first]], others[c[first]], value[first]
+
+
+def _meeting(rows: pd.DataFrame, bounds: list[tuple[int, int]], least: float) -> pd.DataFrame:
+    """Rows that meet anything at a rough cosine of ``least`` or more, as the asking or the stored side."""
+    ids, stored, x = rows["id"].to_numpy(), rows["stored"].to_numpy(), _units(rows["q"])
+    alive = np.zeros(len(rows), bool)
+    for i, j in bounds:
+        kept = i + np.nonzero(stored[i:j])[0]
+        if j - i < 2 or not len(kept):
+            continue
+        for r in range(i, j, 2048):
+            hit = x[r : min(j, r + 2048)] @ x[kept].T >= least
+            hit &= ids[r : min(j, r + 2048), None] != ids[None, kept]
+            alive[r : min(j, r + 2048)] |= hit.any(1)
+            alive[kept] |= hit.any(0)
+    return rows.loc[alive, ["bucket", "id", "stored"]]
+
+
+def _candidates(rows: pd.DataFrame, bounds: list[tuple[int, int]], k: int, least: float) -> pd.DataFrame:
+    ids, stored = rows["id"].to_numpy(), rows["stored"].to_numpy()
+    x = _scaled(_matrix(rows["vector"]).astype(np.float64))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i, j in bounds:
+        m = stored[i:j]
+        if j - i > 1 and m.any():
+            found += _best(ids[i:j], x[i:j], x[i:j][m], ids[i:j][m], k, least)
+    return pd.DataFrame(dict(zip(("a", "b", "cosine"), (np.concatenate(v) for v in zip(*found)))))
+
+
+def _collect(group: list[str], work):
+    """``work`` on the runs of equal ``group`` values of sorted partitions; a run is kept until it ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
 
-        def work(b: pd.DataFrame) -> pd.DataFrame:
+        def closed(b: pd.DataFrame) -> pd.DataFrame:
             key = b[group].to_numpy()
             starts = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1, [len(b)]])
-            ids, stored, x = b["id"].to_numpy(), b["stored"].to_numpy(), _units(b["q"])
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            counts = np.add.reduceat(stored, starts[:-1]) if len(b) else []
-            for i, j, n in zip(starts[:-1], starts[1:], counts):
-                if j - i > 1 and n:
-                    m = stored[i:j]
-                    found += _best(ids[i:j], x[i:j], x[i:j][m], ids[i:j][m], keep, least)
-            if not found:
-                return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-            a, c = (np.concatenate(v) for v in zip(*found))
-            return pd.DataFrame({"a": a, "b": c})
+            return work(b, list(zip(starts[:-1], starts[1:])))
 
         for b in batches:
             if not len(b):
                 continue
             key = b[group].to_numpy()
             cut = np.nonzero((key[1:] != key[:-1]).any(1))[0]
+            if rest and (rest[-1][group].to_numpy()[-1] != key[0]).any():
+                yield closed(pd.concat(rest, ignore_index=True))
+                rest = []
             if not len(cut):
                 rest.append(b)
                 continue
             at = cut[-1] + 1
             done = pd.concat([*rest, b[:at]], ignore_index=True)
             rest = [b[at:]]
-            yield work(done)
+            yield closed(done)
         if rest:
-            yield work(pd.concat(rest, ignore_index=True))
+            yield closed(pd.concat(rest, ignore_index=True))
 
     return run
 
 
-def _runs(rows: DataFrame, group: list[str], keep: int, least: float) -> DataFrame:
+def _runs(rows: DataFrame, group: list[str], work, schema: str) -> DataFrame:
     placed = rows.repartition(*group).sortWithinPartitions(*group)
-    return placed.mapInPandas(_collect(group, keep, least), CANDIDATES)
+    return placed.mapInPandas(_collect(group, work), schema)
 
 
-def _grid(rows: DataFrame, sizes: DataFrame, group: list[str], keep: int, least: float, block: int) -> DataFrame:
+def _grid(rows: DataFrame, sizes: DataFrame, group: list[str], work, block: int, cells: int = 1) -> DataFrame:
     """Complete search in oversized groups: rows meet stored rows cell by cell of a grid; no pair list is made."""
-    sized = rows.join(sizes.select(*group, F.ceil(F.col("n") / F.lit(block)).cast("long").alias("m")), group)
+    sized = rows.join(sizes.select(*group, F.greatest(F.lit(cells), F.ceil(F.col("n") / F.lit(block))).cast("long").alias("m")), group)
     place = F.pmod(F.xxhash64("id", F.lit(3)), F.col("m"))
     asking = sized.withColumn("i", place).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("stored", F.lit(False))
     kept = sized.where("stored").withColumn("j", place).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    names = [*group, "i", "j", "id", "stored", "q"]
-    return _runs(asking.select(*names).unionByName(kept.select(*names)), [*group, "i", "j"], keep, least)
+    names = [*group, "i", "j", "id", "stored", "vector"]
+    # a stored row also asks, so where both meet in one cell it stands there twice
+    return _runs(asking.select(*names).unionByName(kept.select(*names)), [*group, "i", "j"], work, CANDIDATES)
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: float = -1.0, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES, bucket_rows: int = BUCKET_ROWS, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: float = -1.0, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES, bucket_rows: int = BUCKET_ROWS, seed: int = 7, complete: bool = False) -> DataFrame:
     """Rows (``a``, ``b``, ``cosine``, ``rank``): of every vector ``a`` the ``k`` most similar found, at ``least`` or more.
 
     Takes part: unique long ids with vectors of ``size`` finite components, not all zero; others are left out.
     Ties go to the lesser id. Every vector is indexed; ``least`` only leaves out neighbours below it. Vectors
     whose components differ only by a common factor have cosine 1 but count as copies only if equal.
+    ``complete`` compares every vector with every other instead of hashing: nothing is lost, at a cost that is
+    quadratic in the rows. Hashing serves high thresholds; most true neighbours at low cosines share no bucket.
     """
     rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector), size)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("vector"))
     rows = rows.withColumn("copy", F.xxhash64("vector"))
@@ -205,25 +273,29 @@ def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: f
     sizes = rows.groupBy("copy").agg(F.count(F.lit(1)).alias("n"))
     kept = cut_lineage(rows.join(few.select("id", "r"), "id"))
 
-    hashed = cut_lineage(kept.select("id", "vector").mapInPandas(_hash(size, tables, hashes, probes, seed), "id long, bucket long, stored boolean, q binary"))
-    rough = least - SLACK
-    keep = 2 * k
-    counts = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    big = cut_lineage(counts.where(F.col("n") > bucket_rows))
-    # at most rows / bucket_rows buckets are crowded; the joins are shuffled, their large side split by the adaptive planner
-    found = _runs(hashed.join(big.select("bucket"), "bucket", "left_anti"), ["bucket"], keep, rough)
-    if not big.isEmpty():
-        found = found.unionByName(_grid(hashed, big, ["bucket"], keep, rough, bucket_rows))
-    pairs = found.distinct()
-    a, b = kept.select(F.col("id").alias("a"), F.col("vector").alias("va")), kept.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    met = pairs.join(a, "a").join(b, "b")
-
-    def dot(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    exact = met.select("a", "b", (dot("va", "vb") / F.sqrt(dot("va", "va")) / F.sqrt(dot("vb", "vb"))).alias("cosine")).where(F.col("cosine") >= least)
+    def exact(b: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        return _candidates(b, bounds, k, least)
+
+    if complete:
+        every = kept.select(F.lit(0).cast("long").alias("bucket"), "id", F.lit(True).alias("stored"), "vector")
+        found = _grid(every, every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), ["bucket"], exact, COMPLETE_BLOCK, COMPLETE_CELLS)
+    else:
+        hashed = cut_lineage(kept.select("id", "vector").mapInPandas(_hash(size, tables, hashes, probes, seed), "id long, bucket long, stored boolean, q binary"))
+        rough = least - SLACK
+        counts = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        big = cut_lineage(counts.where(F.col("n") > bucket_rows))
+        # at most rows / bucket_rows buckets are crowded; the joins are shuffled, their large side split by the adaptive planner
+        usual = hashed.join(big.select("bucket"), "bucket", "left_anti")
+        if rough > -1:
+            usual = _runs(usual, ["bucket"], lambda b, bounds: _meeting(b, bounds, rough), ALIVE)
+        full = kept.select("id", "vector")
+        found = _runs(usual.select("bucket", "id", "stored").join(full, "id"), ["bucket"], exact, CANDIDATES)
+        if not big.isEmpty():
+            crowded = hashed.select("bucket", "id", "stored").join(big.select("bucket"), "bucket", "left_semi").join(full, "id")
+            found = found.unionByName(_grid(crowded, big, ["bucket"], exact, bucket_rows))
+    met = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     order = [F.desc(F.round("cosine", 12)), F.col("b")]
-    first = exact.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= k)
+    first = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= k)
 
     # ids beyond the first k + 1 of a group of copies: each is at cosine 1 of those, the least k of them first
     more = rows.select("id", "copy").join(sizes.where(F.col("n") > k + 1).select("copy"), "copy")

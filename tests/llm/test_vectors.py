@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.llm.diverse import densities, sample_size, varied_subset, weighted_sample
@@ -82,3 +83,18 @@ def test_weighted_sample_is_exact_in_size(spark):
         assert weighted_sample(df, "id", "w", n).count() == min(n, 5000)
     heavy = weighted_sample(df, "id", "w", 400).where("id >= 4000").count()
     assert 150 < heavy < 250
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.03])
+def test_near_copies_keep_their_ten_nearest(spark, noise):
+    # cosines inside these groups differ by less than the rounding of one byte a component
+    rng = np.random.default_rng(6)
+    x = groups(rng, 1, 700, noise)
+    x = np.concatenate([x, rng.normal(size=(300, 64)).astype(np.float32)])
+    want = brute(x.astype(float), 10, 0.95)
+    for limit in (8192, 300):
+        got = {}
+        for r in nearest(table(spark, x), "id", "v", 64, 10, 0.95, bucket_rows=limit).collect():
+            got.setdefault(r["a"], set()).add(r["b"])
+        recall = np.mean([len(got.get(i, set()) & set(js)) / len(js) for i, js in want.items() if js])
+        assert recall > 0.99, (limit, recall)
