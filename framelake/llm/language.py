@@ -31,6 +31,8 @@ FIT_CHARS = 3_000
 #: A stretch counts as another language than the text's own only if it leads by this much.
 LEAD = 0.25
 LEAST_WORDS = 5
+#: A bracket without a full sentence is a note if it has no more characters than this.
+NOTE_CHARS = 120
 CHARS_PER_STEP = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,7 +40,8 @@ _FORMAT = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "
 _MARKS = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) in ("Mn", "Me")}
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _CLOCK = re.compile(r"\[\s*\d[\d.:,\s]*[-–]\s*\d[\d.:,\s]*\]")
-_BRACKETED = re.compile(r"\[[^\[\]\n]{1,120}\]|\([^()\n]{1,120}\)")
+_BRACKETED = re.compile(r"\[[^\[\]\n]+\]|\([^()\n]+\)")
+_ENDED = re.compile(r"[.!?…][\"»”’'*]*\s*$")
 _TITLE = re.compile(r"(?:(?<=^)|(?<=[.!?…\n|»”\"]))(\s*)(?:“[^“”\n.!?,]{1,120}”|«[^«»\n.!?,]{1,120}»|\"[^\"\n.!?,]{1,120}\"|‘[^‘’\n.!?,]{1,120}’)\s*(?=[.!?…\n|]|$)")
 _JOINT = re.compile(r"\s[–—/-]+\s|[:;,]\s")
 _CUT = re.compile(r"(?<=[.!?…])[\"»”’')\]*]*\s+|\s*\n\s*|\s+\|\s+")
@@ -54,12 +57,26 @@ def bare(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_MARKS).replace("ß", "ss"))
 
 
+def _unbracketed(m: re.Match) -> str:
+    """A bracket with a full sentence becomes a line of its own, a title or note of up to NOTE_CHARS one blank."""
+    inner, at = m.group()[1:-1], 0
+    for cut in [*_CUT.finditer(inner), None]:
+        part = inner[at : cut.start() if cut else len(inner)]
+        if _ENDED.search(part) and len(letters(part).split()) >= LEAST_WORDS:
+            return f"\n{inner}\n"
+        at = cut.end() if cut else at
+    return " " if len(inner) <= NOTE_CHARS else m.group()
+
+
 def stretches(text: str | None) -> list[tuple[int, str]]:
-    """(offset in the cleaned text, stretch): sentences and lines, without time codes, titles and bracketed notes."""
+    """(offset in the cleaned text, stretch): sentences and lines, without time codes, titles and bracketed notes.
+
+    A bracket that holds a full sentence is no note and gives stretches of its own.
+    """
     if not text:
         return []
     clean = text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_FORMAT))
-    clean = _BRACKETED.sub(" ", _CLOCK.sub("\n", clean))
+    clean = _BRACKETED.sub(_unbracketed, _CLOCK.sub("\n", clean))
     clean = _TITLE.sub(" ", clean)
     out, at = [], 0
     for m in _CUT.finditer(clean):

@@ -127,6 +127,32 @@ def test_mixed_and_wrong_labels(spark, reference):
     assert found.where("doc_id in (6, 7, 8)").count() == 0 and G.label_languages(df.limit(0), "doc_id", "text", model).count() == 0
 
 
+def test_bracketed_sentences_are_stretches(spark, reference):
+    by = {}
+    for t, lang in reference:
+        by.setdefault(lang, []).append(t)
+    long = " ".join(by["de"][:4])
+    docs = [
+        (1, " ".join(by["en"][:4]) + " [" + by["fr"][2] + "] " + by["en"][5], "en"), (2, " ".join(by["pt"][:4]) + " (" + by["es"][2] + ")", "pt"),
+        (3, " ".join(by["en"][:4]) + f" ({long}) " + by["en"][5], "en"), (4, " ".join(by["pt"][:3]) + " [De Gouden Kraan] " + by["pt"][4], "pt"),
+        (5, " ".join(by["en"][:4]) + " [Die lange Nacht der alten Hafenlotsin] " + by["en"][5], "en"), (6, by["en"][0] + " (" + by["en"][1] + ") " + by["en"][2], "en"),
+    ]
+    assert len(long) > 120 and all(by[x][2].rstrip()[-1] in ".!?" for x in ("fr", "es"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = G.fit(reference)
+    found = G.label_languages(df, "doc_id", "text", model)
+    got = {tuple(r) for r in G.wrong_labels(df, "doc_id", "lang", found, model.languages).collect()}
+    assert got == {(1, "en"), (1, "fr"), (2, "pt"), (2, "es"), (3, "en"), (3, "de")}
+    assert [r["lang"] for r in found.where("doc_id = 1").orderBy("part").collect()] == ["en", "fr", "en"]
+
+
+def test_brackets_that_are_notes():
+    assert [t.split() for _, t in G.stretches("Ein Bild [Mr. Smith Goes to Washington] (kurz.) am Ende")] == [["Ein", "Bild", "am", "Ende"]]
+    kept = "lange " * 30
+    assert kept.strip() in G.stretches(f"Ein Bild ({kept}) am Ende")[0][1]
+    assert len(G.stretches("Ein Bild (Das Boot liegt heute im Hafen. Rolle drei) am Ende")) == 4
+
+
 def test_no_reference():
     model = G.fit([])
     assert model.scores(["abc"]).shape == (1, 0) and G.named_language(" EN_us", ["en"]) == "en" and G.named_language("xx", ["en"]) is None
