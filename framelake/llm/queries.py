@@ -61,6 +61,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
 
 
+def p3_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar samples of every sample, however alike; every pair is compared, so nothing is lost."""
+    rows = nearest(table(spark, root, "samples"), "sample_id", "vector", VECTOR, k=10, complete=True)
+    return rows.select(F.col("a").alias("sample_id"), F.col("b").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p4_subset(spark: SparkSession, root: str) -> DataFrame:
     samples = table(spark, root, "samples")
     count = sample_size(samples.count(), SUBSET_SHARE)
@@ -99,5 +105,5 @@ def p9_stretches(spark: SparkSession, root: str) -> DataFrame:
     return _languages(spark, root)[2]
 
 
-QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
+QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
 SQL: dict[str, str] = {}

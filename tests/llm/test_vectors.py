@@ -98,3 +98,32 @@ def test_near_copies_keep_their_ten_nearest(spark, noise):
             got.setdefault(r["a"], set()).add(r["b"])
         recall = np.mean([len(got.get(i, set()) & set(js)) / len(js) for i, js in want.items() if js])
         assert recall > 0.99, (limit, recall)
+
+
+def test_nearest_of_every_sample_without_threshold(spark, data):
+    queries = pytest.importorskip("framelake.llm.queries")
+    samples = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/samples.parquet").select("sample_id", "vector").collect()]
+    good = sorted((i, v) for i, v in samples if v is not None and len(v) == 64 and all(c is not None and np.isfinite(c) for c in v) and any(v))
+    u = np.array([v for _, v in good], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {i: sorted(row.tolist(), reverse=True)[:10] for (i, _), row in zip(good, s)}
+    place = {i: n for n, (i, _) in enumerate(good)}
+    got = {}
+    for r in queries.QUERIES["p3_nearest"](spark, data).collect():
+        got.setdefault(r["sample_id"], {})[r["rank"]] = s[place[r["sample_id"]], place[r["neighbour_id"]]]
+    assert len(want) > 100 and set(got) == set(want)
+    assert all(sorted(m) == list(range(1, 11)) and np.allclose([m[k] for k in sorted(m)], want[i], atol=1e-9) for i, m in got.items())
+
+
+def test_complete_search_loses_nothing(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1500, 64)).astype(np.float32), groups(rng, 1, 800, 0.002), np.repeat(rng.normal(size=(1, 64)), 30, 0).astype(np.float32)])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    tenth = -np.partition(-s, 9, axis=1)[:, 9]
+    got = nearest(table(spark, x), "id", "v", 64, 10, complete=True).collect()
+    assert len(got) == 10 * len(x) == len({(r["a"], r["b"]) for r in got})
+    assert all(s[r["a"], r["b"]] >= tenth[r["a"]] - 1e-11 for r in got)
