@@ -56,6 +56,17 @@ def top(rows: DataFrame, k: int, order: list[Column], name: str = "rank") -> Dat
     return rows.orderBy(*order).limit(k).withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def query_scores(rows: DataFrame, vector: str, size: int, queries: DataFrame) -> DataFrame:
+    """``rows`` with a usable vector against every usable vector of ``queries`` (``query_id``, ``query``): their ``cosine``."""
+    usable = rows.where(searchable(F.col(vector), size))
+    return usable.crossJoin(queries.where(searchable(F.col("query"), size))).withColumn("cosine", dot(F.col(vector), F.col("query"))).drop("query")
+
+
+def top_each(rows: DataFrame, k: int, order: list[Column], key: str = "query_id", name: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every ``key`` with their 1-based place; partitions keep only ``k`` of each before the shuffle."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) <= k)
+
+
 def hybrid(scored: DataFrame, hits: DataFrame, key: str, boost: float = TEXT_BOOST) -> DataFrame:
     """Add ``score``: the cosine, lifted once by ``boost`` where the key has any text hit; before any cut."""
     once = hits.select(F.col(key).alias("_k")).distinct()

@@ -25,6 +25,7 @@ from framelake.streaming.feedback import windowed_counts
 QUERIES, SQL = {}, {}
 QUERY_TEXT = "The lighthouse keeper and the harbour"
 TOP = 20
+QUERY_STEP = 100
 
 
 def query(sql: str | None = None):
@@ -97,6 +98,37 @@ def hybrid_topk(spark: SparkSession, root: str) -> DataFrame:
     return best.select("vec_id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"), "rank")
 
 
+def _query_set(spark: SparkSession, root: str) -> DataFrame:
+    """Scores of all embeddings against every one whose id is divisible by ``QUERY_STEP``."""
+    rows = table(spark, root, "embeddings")
+    wanted = rows.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    first = rows.where("vec_id = 0").select(F.size("embedding")).head() or rows.select(F.size("embedding")).head()
+    return S.query_scores(rows, "embedding", first[0] if first else 0, wanted)
+
+
+@query("""
+with q as (select vec_id as query_id, cast(embedding as double[]) as v from embeddings where vec_id % 100 = 0),
+s as (select query_id, vec_id, label, list_dot_product(cast(embedding as double[]), q.v) as c from embeddings, q)
+select query_id, vec_id, label, round(c, 6) as cosine, row_number() over (partition by query_id order by c desc, vec_id) as rank from s
+qualify row_number() over (partition by query_id order by c desc, vec_id) <= 20""")
+def vector_topk_set(spark: SparkSession, root: str) -> DataFrame:
+    best = S.top_each(_query_set(spark, root), TOP, [F.desc("cosine"), F.col("vec_id")])
+    return best.select("query_id", "vec_id", "label", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(f"""
+with {_bm25_sql("documents", "doc_id", "text")},
+q as (select vec_id as query_id, cast(embedding as double[]) as v from embeddings where vec_id % 100 = 0),
+e as (select query_id, vec_id, list_dot_product(cast(embedding as double[]), q.v) as c from embeddings, q),
+h as (select e.query_id, e.vec_id, c, case when d.doc_id is not null then c + 0.15 else c end as score from e left join (select distinct doc_id from scored where hits > 0) d on d.doc_id = e.vec_id)
+select query_id, vec_id, round(c, 6) as cosine, round(score, 6) as score, row_number() over (partition by query_id order by score desc, c desc, vec_id) as rank from h
+qualify row_number() over (partition by query_id order by score desc, c desc, vec_id) <= 20""")
+def hybrid_topk_set(spark: SparkSession, root: str) -> DataFrame:
+    hits = X.bm25(spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id"), F.col("text"), _TERMS).select(F.col("doc_id").alias("vec_id"))
+    best = S.top_each(S.hybrid(_query_set(spark, root), hits, "vec_id"), TOP, [F.desc("score"), F.desc("cosine"), F.col("vec_id")])
+    return best.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"), "rank")
+
+
 _SEGMENTS = "seg as (select * from segments qualify row_number() over (partition by segment_id order by imported_at desc) = 1)"
 _SPAN_TEXT = "nullif(trim(concat_ws(' ', coalesce(description, ''), coalesce(shot_type, ''), coalesce(camera_move, ''), coalesce(subjects, ''), coalesce(action, ''), coalesce(tags, ''))), '')"
 

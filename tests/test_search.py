@@ -136,3 +136,12 @@ def test_browse(spark):
     assert lists["p1"] == ["c1", "c2"] and lists["s1"] is None
     with pytest.raises(ValueError):
         B.browse(families, B.AssetFilter(kind="shot"))
+
+
+def test_every_query_of_the_set_is_answered(spark, data):
+    from framelake.plans import library
+
+    want = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
+    for name in ("vector_topk_set", "hybrid_topk_set"):
+        got = library.QUERIES[name](spark, data).groupBy("query_id").count().collect()
+        assert len(want) > 1 and {r[0] for r in got} == want and all(r[1] == 20 for r in got)
