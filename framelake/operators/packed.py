@@ -30,7 +30,7 @@ SOFT = " \x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0            ​
 _SET = "".join("\\" + c if c in "[]|" else c for c in SPECIAL)
 _PLAIN = rf"(?:[^{_SET}{SOFT}\\]|(?<=\p{{L}})['’](?=\p{{L}})|(?<=[\p{{L}}\p{{N}}])/(?=[\p{{L}}\p{{N}}]))"
 TOKEN = rf"(?s)(?:\\u[0-9a-fA-F]{{4}})+|\\x[0-9a-fA-F]{{2}}|\\.|{_PLAIN}+(?:[{SOFT}]+{_PLAIN}+)*|[{SOFT}]+|."
-#: Cells whose skeleton is longer than this never enter the broadcast part of the rules.
+#: A longer skeleton is resolved beside its cell instead of once for all cells that share it.
 LONG_SKELETON = 512
 
 
@@ -124,23 +124,27 @@ def split_packed(df: DataFrame, id_col: str, fields: list[str], checkpoint=None)
     """Rows (``id_col``, ``field``, ``pos``, ``value``): one for each value in each named field.
 
     Null, empty and blank cells give no rows; empty values are dropped and not counted; a repeated value keeps
-    every position. An unclosed quote is an ordinary character. Other columns of ``df`` are ignored. Rules are
-    resolved per distinct skeleton; those of frequent skeletons (at most 1000 of at most ``LONG_SKELETON``
-    characters, a fixed bound) are broadcast, the rest meet their cells by a shuffled join, so there is neither
-    a hot key nor a broadcast that grows. ``checkpoint`` stores the rules once; by default they are recomputed.
+    every position. An unclosed quote is an ordinary character. Other columns of ``df`` are ignored.
+
+    Cells repeat, so each distinct text is cut once and meets its rows afterwards. Rules are resolved per distinct
+    skeleton; a skeleton of more than ``LONG_SKELETON`` characters is resolved beside its cell, so rules that are
+    broadcast stay small. Frequent skeletons and cells meet their rows by ``lookup_join``. ``checkpoint`` stores
+    the two intermediate tables once; by default they are recomputed.
     """
+    stored = checkpoint or (lambda x: x)
     names = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("cell")) for f in fields])
-    cells = df.select(F.col(id_col).alias("_id"), F.explode(names).alias("_c")).select("_id", "_c.field", "_c.cell").where(F.col("cell").rlike(rf"(?s)[^\s\p{{Z}}]"))
-    cells = cells.select("_id", "field", F.regexp_extract_all("cell", F.lit(TOKEN), 0).alias("tokens"))
-    cells = cells.withColumn("skeleton", F.array_join(F.transform("tokens", _mask), ""))
-    counted = cells.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n"))
-    rules = counted.mapInPandas(_resolve, "skeleton string, n long, rule array<array<int>>")
-    rules = checkpoint(rules) if checkpoint else rules
-    rules = rules.withColumn("n", F.when(F.length("skeleton") <= LONG_SKELETON, F.col("n")).otherwise(F.lit(0)))
-    ruled = lookup_join(cells, rules, "skeleton", "n")
+    cells = df.select(F.col(id_col).alias("_id"), F.explode(names).alias("_c")).select("_id", "_c.field", "_c.cell").where(F.col("cell").rlike(r"[^\s\p{Z}]"))
+    texts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("tokens", F.regexp_extract_all("cell", F.lit(TOKEN), 0))
+    texts = stored(texts.withColumn("skeleton", F.array_join(F.transform("tokens", _mask), "")))
+    short, long = texts.where(F.length("skeleton") <= LONG_SKELETON), texts.where(F.length("skeleton") > LONG_SKELETON)
+    rules = short.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).mapInPandas(_resolve, "skeleton string, n long, rule array<array<int>>")
+    ruled = lookup_join(short, stored(rules), "skeleton", "n")
+    beside = long.mapInPandas(_resolve, "cell string, rows long, tokens array<string>, skeleton string, rule array<array<int>>")
     values = F.transform("rule", lambda v: strip_blanks(F.array_join(F.transform(v, lambda k: _text(F.element_at("tokens", k))), "")))
-    found = ruled.select("_id", "field", F.filter(values, lambda v: v != "").alias("v"))
-    return found.select(F.col("_id").alias(id_col), "field", F.posexplode("v").alias("p", "value")).select(id_col, "field", (F.col("p") + 1).cast("int").alias("pos"), "value")
+    cut = ruled.select("cell", "rows", "tokens", "rule").unionByName(beside.select("cell", "rows", "tokens", "rule"))
+    cut = stored(cut.select("cell", "rows", F.filter(values, lambda v: v != "").alias("v")))
+    met = lookup_join(cells, cut, "cell", "rows")
+    return met.select(F.col("_id").alias(id_col), "field", F.posexplode("v").alias("p", "value")).select(id_col, "field", (F.col("p") + 1).cast("int").alias("pos"), "value")
 
 
 def newest_rows(df: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
