@@ -13,7 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -36,13 +36,15 @@ NOTE_CHARS = 120
 CHARS_PER_STEP = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
-_FORMAT = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
+_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]+")
 _MARKS = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) in ("Mn", "Me")}
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _CLOCK = re.compile(r"\[\s*\d[\d.:,\s]*[-–]\s*\d[\d.:,\s]*\]")
 _BRACKETED = re.compile(r"\[[^\[\]\n]+\]|\([^()\n]+\)")
 _ENDED = re.compile(r"[.!?…][\"»”’'*]*\s*$")
 _TITLE = re.compile(r"(?:(?<=^)|(?<=[.!?…\n|»”\"]))(\s*)(?:“[^“”\n.!?,]{1,120}”|«[^«»\n.!?,]{1,120}»|\"[^\"\n.!?,]{1,120}\"|‘[^‘’\n.!?,]{1,120}’)\s*(?=[.!?…\n|]|$)")
+_QUOTE = re.compile("[\"“«‘]")
 _JOINT = re.compile(r"\s[–—/-]+\s|[:;,]\s")
 _CUT = re.compile(r"(?<=[.!?…])[\"»”’')\]*]*\s+|\s*\n\s*|\s+\|\s+")
 
@@ -75,9 +77,14 @@ def stretches(text: str | None) -> list[tuple[int, str]]:
     """
     if not text:
         return []
-    clean = text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_FORMAT))
-    clean = _BRACKETED.sub(_unbracketed, _CLOCK.sub("\n", clean))
-    clean = _TITLE.sub(" ", clean)
+    clean = text
+    if not text.isascii():
+        # format marks aren't printable; few texts hold anything of that kind
+        clean = text if text.replace("\n", " ").isprintable() else _FORMAT.sub("", text)
+        clean = clean if unicodedata.is_normalized("NFKC", clean) else unicodedata.normalize("NFKC", clean)
+    clean = _CLOCK.sub("\n", clean) if "[" in clean else clean
+    clean = _BRACKETED.sub(_unbracketed, clean) if "[" in clean or "(" in clean else clean
+    clean = _TITLE.sub(" ", clean) if _QUOTE.search(clean) else clean
     out, at = [], 0
     for m in _CUT.finditer(clean):
         out.append((at, clean[at : m.start()]))
@@ -88,11 +95,18 @@ def stretches(text: str | None) -> list[tuple[int, str]]:
 
 def _joined(sentence: str, least: int = 5) -> list[tuple[int, str]]:
     """Cut at a dash, slash, colon or semicolon with ``least`` words on both sides: two sentences may meet there."""
-    out, at = [], 0
-    for m in _JOINT.finditer(sentence):
-        if len(letters(sentence[at : m.start()]).split()) >= least and len(letters(sentence[m.end() :]).split()) >= least:
+    marks = list(_JOINT.finditer(sentence))
+    if not marks:
+        return [(0, sentence)]
+    ends = [0, *[m.end() for m in marks], len(sentence)]
+    words = [len(_LETTERS.findall(sentence, a, z)) for a, z in zip(ends, ends[1:])]
+    left = sum(words)
+    out, at, held = [], 0, 0
+    for m, n in zip(marks, words):
+        held, left = held + n, left - n
+        if held >= least and left >= least:
             out.append((at, sentence[at : m.start()]))
-            at = m.end()
+            at, held = m.end(), 0
     return [*out, (at, sentence[at:])]
 
 
@@ -118,21 +132,52 @@ def presence(texts: list[str], lengths: tuple[int, ...] = LENGTHS) -> tuple[np.n
     return owner, key & np.uint64((1 << 40) - 1), np.bincount(owner, minlength=len(texts))
 
 
+#: Bits of an n-gram's hash that address the table in front of the sorted hashes.
+ADDRESS = 18
+
+
+def address(grams: np.ndarray) -> np.ndarray:
+    """Row of the only n-gram at each address; -1 where there is none, -2 where several share it."""
+    table = np.full(1 << ADDRESS, -1, np.int64)
+    at, first, count = np.unique((grams >> np.uint64(40 - ADDRESS)).astype(np.int64), return_index=True, return_counts=True)
+    table[at] = np.where(count == 1, first, -2)
+    return table
+
+
+def places(grams: np.ndarray, table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Row of each wanted n-gram in the sorted ``grams``, or ``len(grams)``: most are found by address alone."""
+    at = table[(wanted >> np.uint64(40 - ADDRESS)).astype(np.int64)]
+    shared = np.nonzero(at == -2)[0]
+    at[shared] = np.minimum(np.searchsorted(grams, wanted[shared]), len(grams) - 1)
+    at[at < 0] = 0
+    at[grams[at] != wanted] = len(grams)
+    return at
+
+
 @dataclass
 class Model:
     languages: list[str]
     grams: np.ndarray  # sorted hashes
     weights: np.ndarray  # gram x language
+    table: np.ndarray = field(init=False)
+    rows: np.ndarray = field(init=False)  # language x gram, and a last column of zeros for all other n-grams
+
+    def __post_init__(self) -> None:
+        self.table = address(self.grams)
+        self.rows = np.ascontiguousarray(np.vstack([self.weights, np.zeros((1, len(self.languages)))]).T)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Class scores of stretches given as ``letters``; a stretch without letters scores 0."""
+        out = np.zeros((len(texts), len(self.languages)))
         if not texts or not len(self.grams):
-            return np.zeros((len(texts), len(self.languages)))
+            return out
         owner, gram, count = presence(texts)
-        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        known = self.grams[at] == gram
-        owner, rows = owner[known], self.weights[at[known]]
-        out = np.stack([np.bincount(owner, rows[:, c], len(texts)) for c in range(len(self.languages))], axis=1)
+        if len(owner):
+            first = np.nonzero(np.append(True, owner[1:] != owner[:-1]))[0]
+            # the product of the sparse presence matrix, whose rows lie one after the other, with the weights
+            at = places(self.grams, self.table, gram)
+            for c, weights in enumerate(self.rows):
+                out[owner[first], c] = np.add.reduceat(weights.take(at), first)
         return out / np.sqrt(np.maximum(count, 1))[:, None]
 
 
@@ -156,22 +201,28 @@ def fit(sentences: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: flo
         chosen += sorted({*often.tolist(), *own[np.unique(np.linspace(0, len(own) - 1, room - len(often)).astype(int))].tolist()})
     grams = np.unique(presence([texts[i] for i in chosen])[1])
 
-    def matrix(part: list[str]) -> np.ndarray:
-        owner, gram, count = presence(part)
-        at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-        known = grams[at] == gram
-        x = np.zeros((len(part), len(grams)), np.float32)
-        x[owner[known], at[known]] = 1
-        return x / np.sqrt(np.maximum(count, 1))[:, None]
+    table = address(grams)
 
-    z = matrix([texts[i] for i in chosen])
+    def sparse(part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, gram, count = presence(part)
+        return owner, places(grams, table, gram), 1 / np.sqrt(np.maximum(count, 1))
+
+    owner, at, scale = sparse([texts[i] for i in chosen])
+    z = np.zeros((len(chosen), len(grams) + 1), np.float32)
+    z[owner, at] = scale[owner]
+    # the row of n-grams that no landmark has stays 0
+    z[:, -1] = 0
+    across = np.ascontiguousarray(z.T)
+    z = z[:, :-1]
     y = np.where(labels[:, None] == np.array(languages)[None, :], 1.0, -1.0 / max(1, len(languages) - 1))
     square, moment = np.zeros((len(z), len(z))), np.zeros((len(z), len(languages)))
-    for i in range(0, len(texts), 512):
-        cross = (matrix(texts[i : i + 512]) @ z.T).astype(float)
-        heavy = cross * weight[i : i + 512, None]
+    for i in range(0, len(texts), 128):
+        owner, at, scale = sparse(texts[i : i + 128])
+        bounds = np.searchsorted(owner, np.arange(len(scale) + 1))
+        cross = np.stack([across[at[a:b]].sum(0) for a, b in zip(bounds, bounds[1:])]).astype(float) * scale[:, None]
+        heavy = cross * weight[i : i + 128, None]
         square += heavy.T @ cross
-        moment += heavy.T @ y[i : i + 512]
+        moment += heavy.T @ y[i : i + 128]
     inner = (z @ z.T).astype(float)
     alpha = np.linalg.solve(square + ridge * weight.sum() / len(languages) * inner + 1e-8 * np.eye(len(z)), moment)
     return Model(languages, grams, (z.T @ alpha.astype(np.float32)).astype(np.float64))
