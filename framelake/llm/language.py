@@ -31,8 +31,7 @@ FIT_CHARS = 3_000
 #: A stretch counts as another language than the text's own only if it leads by this much.
 LEAD = 0.25
 LEAST_WORDS = 5
-#: A bracket without a full sentence is a note if it has no more characters than this.
-NOTE_CHARS = 120
+NOTE_SHARE = 4
 CHARS_PER_STEP = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,7 +42,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _CLOCK = re.compile(r"\[\s*\d[\d.:,\s]*[-–]\s*\d[\d.:,\s]*\]")
 _BRACKETED = re.compile(r"\[[^\[\]\n]+\]|\([^()\n]+\)")
 _ENDED = re.compile(r"[.!?…][\"»”’'*]*\s*$")
-_TITLE = re.compile(r"(?:(?<=^)|(?<=[.!?…\n|»”\"]))(\s*)(?:“[^“”\n.!?,]{1,120}”|«[^«»\n.!?,]{1,120}»|\"[^\"\n.!?,]{1,120}\"|‘[^‘’\n.!?,]{1,120}’)\s*(?=[.!?…\n|]|$)")
+_TITLE = re.compile(r"(?:(?<=^)|(?<=[.!?…\n|»”\"]))(\s*)(?:“[^“”\n.!?,]+”|«[^«»\n.!?,]+»|\"[^\"\n.!?,]+\"|‘[^‘’\n.!?,]+’)\s*(?=[.!?…\n|]|$)")
 _QUOTE = re.compile("[\"“«‘]")
 _JOINT = re.compile(r"\s[–—/-]+\s|[:;,]\s")
 _CUT = re.compile(r"(?<=[.!?…])[\"»”’')\]*]*\s+|\s*\n\s*|\s+\|\s+")
@@ -59,21 +58,32 @@ def bare(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_MARKS).replace("ß", "ss"))
 
 
-def _unbracketed(m: re.Match) -> str:
-    """A bracket with a full sentence becomes a line of its own, a title or note of up to NOTE_CHARS one blank."""
-    inner, at = m.group()[1:-1], 0
+def _sentence_in(inner: str) -> bool:
+    """Whether a full sentence stands in a bracket."""
+    at = 0
     for cut in [*_CUT.finditer(inner), None]:
         part = inner[at : cut.start() if cut else len(inner)]
         if _ENDED.search(part) and len(letters(part).split()) >= LEAST_WORDS:
-            return f"\n{inner}\n"
+            return True
         at = cut.end() if cut else at
-    return " " if len(inner) <= NOTE_CHARS else m.group()
+    return False
+
+
+def _without_notes(text: str) -> str:
+    """A bracket with a full sentence becomes a line of its own, a title or note one blank.
+
+    Notes go with a text; where they outweigh it ``NOTE_SHARE`` times, they are the text and stay.
+    """
+    opened = _BRACKETED.sub(lambda m: f"\n{m.group()[1:-1]}\n" if _sentence_in(m.group()[1:-1]) else m.group(), text)
+    bare_text = _BRACKETED.sub(" ", opened)
+    return bare_text if (NOTE_SHARE + 1) * len(_LETTERS.findall(bare_text)) >= len(_LETTERS.findall(opened)) else opened
 
 
 def stretches(text: str | None) -> list[tuple[int, str]]:
     """(offset in the cleaned text, stretch): sentences and lines, without time codes, titles and bracketed notes.
 
-    A bracket that holds a full sentence is no note and gives stretches of its own.
+    A bracket that holds a full sentence is no note and gives stretches of its own. A text of nothing but titles
+    keeps them.
     """
     if not text:
         return []
@@ -83,8 +93,9 @@ def stretches(text: str | None) -> list[tuple[int, str]]:
         clean = text if text.replace("\n", " ").isprintable() else _FORMAT.sub("", text)
         clean = clean if unicodedata.is_normalized("NFKC", clean) else unicodedata.normalize("NFKC", clean)
     clean = _CLOCK.sub("\n", clean) if "[" in clean else clean
-    clean = _BRACKETED.sub(_unbracketed, clean) if "[" in clean or "(" in clean else clean
-    clean = _TITLE.sub(" ", clean) if _QUOTE.search(clean) else clean
+    clean = _without_notes(clean) if "[" in clean or "(" in clean else clean
+    untitled = _TITLE.sub(" ", clean) if _QUOTE.search(clean) else clean
+    clean = untitled if untitled is clean or _LETTERS.search(untitled) else clean
     out, at = [], 0
     for m in _CUT.finditer(clean):
         out.append((at, clean[at : m.start()]))
@@ -334,9 +345,11 @@ def label_languages(documents: DataFrame, doc_id: str, text: str, model: Model,
 
 def wrong_labels(documents: DataFrame, doc_id: str, label: str, found: DataFrame, languages: list[str], least_words: int = LEAST_WORDS) -> DataFrame:
     """Rows (``doc_id``, ``lang``) of documents whose label is missing, names no language or one not in the text,
-    or whose text has several: one for each language with a full sentence (``least_words`` words) there."""
+    or whose text has several: one for each language with a full sentence (``least_words`` words) there. A text
+    without any counts as written in the language of its longest stretch."""
     short = F.substring(F.lower(F.trim(F.col(label))), 1, 2)
     named = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(short.isin(languages), short).alias("named"))
-    full = found.where(F.col("words") >= least_words).groupBy("doc_id").agg(F.collect_set("lang").alias("langs"))
+    full = found.groupBy("doc_id").agg(F.collect_set(F.when(F.col("words") >= least_words, F.col("lang"))).alias("langs"), F.max_by("lang", F.struct("words", -F.col("part"))).alias("longest"))
+    full = full.select("doc_id", F.when(F.size("langs") > 0, F.col("langs")).otherwise(F.array("longest")).alias("langs"))
     met = named.join(full, "doc_id").where(F.col("named").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("named")))
     return met.select("doc_id", F.explode("langs").alias("lang")).distinct()

@@ -151,6 +151,18 @@ def test_brackets_that_are_notes():
     kept = "lange " * 30
     assert kept.strip() in G.stretches(f"Ein Bild ({kept}) am Ende")[0][1]
     assert len(G.stretches("Ein Bild (Das Boot liegt heute im Hafen. Rolle drei) am Ende")) == 4
+    # no length makes a bracket anything else: what counts is whether the text around it is more
+    note, around = "Rolle drei " * 40, "ein Bild vom alten Hafen " * 40
+    assert not any("Rolle" in t for _, t in G.stretches(f"{around} ({note}) {around}"))
+    assert [t.split() for _, t in G.stretches("«Die lange Nacht»")] == [["«Die", "lange", "Nacht»"]]
+
+
+def test_texts_without_a_full_sentence(spark, reference):
+    model = G.fit(reference)
+    df = spark.createDataFrame([(1, "Der alte Hafen", None), (2, "Der alte Hafen", "en"), (3, "Der alte Hafen", "de")], "doc_id long, text string, lang string")
+    found = G.label_languages(df, "doc_id", "text", model)
+    got = {tuple(r) for r in G.wrong_labels(df, "doc_id", "lang", found, model.languages).collect()}
+    assert got == {(1, "de"), (2, "de")}
 
 
 def test_no_reference():
