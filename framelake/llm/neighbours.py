@@ -5,6 +5,9 @@ nearest signed axis; two such hashes give a bucket of one table. Every vector is
 asks its own bucket and the next best ones. Vectors of one byte a component only leave out entries that meet
 nothing near the threshold; inside a bucket the others are compared and ranked by exact cosines.
 
+Without a threshold the number of buckets follows the number of rows, and tables and probes are the least that meet
+a stated share of the true neighbours of a bounded sample. A row then goes to a task once with all its buckets there.
+
 Two kinds of groups stay bounded. Copies of one vector are collapsed: only the ``k + 1`` least ids of a
 group of copies can be among anybody's ``k`` most similar (ties go to the lesser id), so the others only take
 over the list of their group. A bucket with more than ``BUCKET_ROWS`` entries is searched completely, in a grid of
@@ -255,14 +258,224 @@ def _grid(rows: DataFrame, sizes: DataFrame, group: list[str], work, block: int,
     return _runs(asking.select(*names).unionByName(kept.select(*names)), [*group, "i", "j"], work, CANDIDATES)
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: float = -1.0, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES, bucket_rows: int = BUCKET_ROWS, seed: int = 7, complete: bool = False) -> DataFrame:
+# -- without a threshold -----------------------------------------------------------------------------------
+
+#: Rows of a usual bucket; asking entries of one group of buckets, which is what a task holds at a time.
+BUCKET_GOAL, GROUP_ASKS = 1024, 1 << 17
+#: Documented bounds of the sample that sets the probes: its queries, which are compared with all rows, and the
+#: share of their true neighbours that the probes must meet. Tables to choose from; the cheapest sufficient are taken.
+FIT_QUERIES, FIT_RECALL, FIT_TABLES = 256, 0.95, (4, 6, 8, 12, 16)
+#: So few crowded buckets are told to all tasks; a bucket counts as crowded accordingly.
+CROWDED_CODES = 100_000
+
+
+def bucket_widths(rows: int, size: int, goal: int = BUCKET_GOAL) -> tuple[int, ...]:
+    """Axes that each hash of a table looks at: full hashes while more than ``goal`` rows share a bucket, then one of
+    the first 2, 4, 8, ... rotated axes."""
+    full, need, widths = 1 << max(1, (size - 1).bit_length()), max(1, rows) / goal, []
+    while need >= 2 * full:
+        widths.append(full)
+        need /= 2 * full
+    last = 1 << int(np.log2(max(1.0, need / 2)))
+    return (*widths, min(full, last)) if need >= 2 or not widths else tuple(widths)
+
+
+def table_codes(x: np.ndarray, signs: np.ndarray, widths: tuple[int, ...], probes: int) -> np.ndarray:
+    """Of every row its bucket in one table and the next ``probes`` likeliest: those of least summed squared shortfall."""
+    x = np.pad(x, ((0, 0), (0, signs.shape[2] - x.shape[1]))).astype(np.float32)
+    code, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
+    for flips, width in zip(signs, widths):
+        y = x
+        for s in flips:
+            y = _hadamard(y * s)
+        signed = np.concatenate([y[:, :width], -y[:, :width]], axis=1)
+        axis = np.argsort(-signed, axis=1, kind="stable")[:, : probes + 1]
+        value = np.take_along_axis(signed, axis, 1)
+        cost = (cost[:, :, None] + ((value[:, :1] - value) ** 2)[:, None, :]).reshape(len(x), -1)
+        code = (code[:, :, None] * (2 * width) + axis[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(cost, axis=1, kind="stable")[:, : probes + 1]
+        code, cost = np.take_along_axis(code, best, 1), np.take_along_axis(cost, best, 1)
+    return code
+
+
+def all_codes(x: np.ndarray, signs: np.ndarray, widths: tuple[int, ...], probes: int, step: int = 2048) -> np.ndarray:
+    """Bucket numbers (rows, tables, at most 1 + probes) that differ between tables."""
+    tables = len(signs) // len(widths)
+    out = [np.zeros((0, tables, 1), np.int64)]
+    for i in range(0, len(x), step):
+        part = [table_codes(x[i : i + step], signs[t * len(widths) : (t + 1) * len(widths)], widths, probes) * tables + t for t in range(tables)]
+        out.append(np.stack(part, axis=1))
+    return np.concatenate(out[1:] or out)
+
+
+def fit_probes(queries: np.ndarray, neighbours: np.ndarray, widths: tuple[int, ...], size: int, seed: int, recall: float = FIT_RECALL) -> tuple[int, int]:
+    """(tables, probes) with which ``recall`` of the true ``neighbours`` (queries, k, size) of the sample are met, at least entries."""
+    limit = int(np.prod([2 * w for w in widths]))
+    most = min(limit, 1024) - 1
+    flat = neighbours.reshape(-1, size)
+    need = np.zeros((len(queries), neighbours.shape[1], 0), np.int64)
+    best = None
+    for tables in FIT_TABLES:
+        signs = rotations(size, tables * len(widths), seed)
+        own = all_codes(flat, signs, widths, 0)[:, need.shape[2] :, 0].reshape(len(queries), neighbours.shape[1], -1)
+        asked = all_codes(queries, signs, widths, most)[:, need.shape[2] :]
+        # numbers of tables differ with their count: compare without them
+        same = (own // tables)[:, :, :, None] == (asked // tables)[:, None, :, :]
+        need = np.concatenate([need, np.where(same.any(3), same.argmax(3), limit)], axis=2)
+        probes = int(np.quantile(need.min(2), recall, method="higher")) if need.size else 0
+        if probes < limit and (best is None or tables * (probes + 2) < best[0] * (best[1] + 2)):
+            best = (tables, probes)
+    return best or (FIT_TABLES[-1], most)
+
+
+def _pack(x: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in x.astype(np.float32)]
+
+
+def _unpack(column: pd.Series, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), size)
+
+
+def _sample_truth(kept: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The ``k`` nearest rows of a bounded set of queries among all rows: (queries, k, size); every batch gives ``k`` a query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((len(queries), 0), np.float32), np.zeros((len(queries), 0, size), np.float32))]
+        for b in batches:
+            x = _scaled(_matrix(b["vector"])).astype(np.float32)
+            s = queries @ x.T
+            s[ids[:, None] == b["id"].to_numpy()[None, :]] = -3
+            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            value, rows = np.concatenate([best[0][0], np.take_along_axis(s, at, 1)], axis=1), np.concatenate([best[0][1], x[at]], axis=1)
+            at = np.argsort(-value, axis=1, kind="stable")[:, :k]
+            best = [(np.take_along_axis(value, at, 1), np.take_along_axis(rows, at[:, :, None], 1))]
+        value, rows = best[0]
+        for q in range(len(queries)):
+            if value.shape[1]:
+                yield pd.DataFrame({"q": q, "c": value[q].astype(float), "v": _pack(rows[q])})
+
+    found = kept.select("id", "vector").mapInPandas(run, "q int, c double, v binary").where("c > -2")
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "v"))).where(F.col("r") <= k).orderBy("q", "r").toPandas()
+    full = top.groupby("q").filter(lambda g: len(g) == k)
+    return _unpack(full["v"], size).reshape(-1, k, size) if len(full) else np.zeros((0, k, size), np.float32)
+
+
+def _merge(owner: np.ndarray, other: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best distinct others of every owner, ties to the lesser id."""
+    # one pair met in several buckets may differ in the last digit
+    order = np.lexsort((-value, other, owner))
+    owner, other, value = owner[order], other[order], value[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])) if len(owner) else np.zeros(0, bool)
+    owner, other, value = owner[new], other[new], value[new]
+    order = np.lexsort((other, -value.round(12), owner))
+    owner, other, value = owner[order], other[order], value[order]
+    first = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+    return owner[first], other[first], value[first]
+
+
+def _hashed(kept: DataFrame, size: int, k: int, seed: int, goal: int, bucket_rows: int) -> DataFrame:
+    """Candidates (``a``, ``b``, ``cosine``) of rows (``id``, ``vector``), at most ``k`` a row and group of buckets."""
+    total = kept.count()
+    widths = bucket_widths(total, size, goal)
+    sample = kept.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(FIT_QUERIES).toPandas()
+    queries = _scaled(_matrix(sample["vector"])).astype(np.float32) if len(sample) else np.zeros((0, size), np.float32)
+    truth = _sample_truth(kept, queries, sample["id"].to_numpy(), k, size) if total > k else np.zeros((0, k, size), np.float32)
+    tables, probes = fit_probes(queries, truth, widths, size, seed) if len(truth) == len(queries) and total > k else (FIT_TABLES[0], int(np.prod([2 * w for w in widths])) - 1)
+    groups = max(1, -(-total * tables * (probes + 1) // GROUP_ASKS))
+    crowded_rows = max(bucket_rows, tables * total // CROWDED_CODES)
+    made = rotations(size, tables * len(widths), seed)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"code": all_codes(_scaled(_matrix(b["vector"])), made, widths, 0).reshape(-1)})
+
+    counts = kept.select("vector").mapInPandas(own, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    # no more than CROWDED_CODES buckets can hold so many rows
+    crowded = np.array(sorted(r[0] for r in counts.where(F.col("n") > crowded_rows).select("code").toLocalIterator()), np.int64)
+
+    def entries(batches: Iterator[pd.DataFrame], of_crowded: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for b in batches:
+            if not len(b):
+                continue
+            x = _scaled(_matrix(b["vector"]).astype(np.float64))
+            codes = all_codes(x, made, widths, probes)
+            row, _, rank = np.indices(codes.shape)
+            code, row, stored = codes.reshape(-1), row.reshape(-1), rank.reshape(-1) == 0
+            chosen = np.isin(code, crowded) == of_crowded
+            yield b, x, row[chosen], code[chosen], stored[chosen]
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, x, row, code, stored in entries(batches, False):
+            group = (code * 0x9E3779B97F4A7C1 % (1 << 61)) % groups
+            order = np.lexsort((code, group, row))
+            row, code, group, stored = row[order], code[order], group[order], stored[order]
+            first = np.nonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))[0] if len(row) else np.zeros(0, int)
+            packed, vectors = np.where(stored, -code - 1, code), _pack(x)
+            asks = [c.tobytes() for c in np.split(packed, first[1:])] if len(first) else []
+            yield pd.DataFrame({"g": group[first], "id": b["id"].to_numpy()[row[first]], "asks": asks, "v": [vectors[i] for i in row[first]]})
+
+    def met(rows: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        out = []
+        for i, j in bounds:
+            ids, x = rows["id"].to_numpy()[i:j], _scaled(_unpack(rows["v"].iloc[i:j], size).astype(np.float64))
+            lists = [np.frombuffer(c, np.int64) for c in rows["asks"].iloc[i:j]]
+            code, row = np.concatenate(lists), np.repeat(np.arange(j - i), [len(c) for c in lists])
+            stored = code < 0
+            code = np.where(stored, -code - 1, code)
+            order = np.argsort(code, kind="stable")
+            code, row, stored = code[order], row[order], stored[order]
+            ends = np.append(np.nonzero(np.append(True, code[1:] != code[:-1]))[0], len(code))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for p, q in zip(ends, ends[1:]):
+                kept_rows = row[p:q][stored[p:q]]
+                if q - p > 1 and len(kept_rows):
+                    asking = row[p:q]
+                    found += _best(ids[asking], x[asking], x[kept_rows], ids[kept_rows], k, -1.5)
+            a, b, c = _merge(*(np.concatenate(v) for v in zip(*found)), k)
+            first = np.nonzero(np.append(True, a[1:] != a[:-1]))[0] if len(a) else np.zeros(0, int)
+            cut = [zip(*(np.split(v, first[1:]) for v in (b, c)))] if len(first) else [[]]
+            pairs = [(p.tobytes(), q.tobytes()) for p, q in cut[0]]
+            out.append(pd.DataFrame({"a": a[first], "b": [p for p, _ in pairs], "c": [q for _, q in pairs]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "c": []})
+
+    placed = kept.select("id", "vector").mapInPandas(grouped, "g long, id long, asks binary, v binary")
+    lists = _runs(placed, ["g"], met, "a long, b binary, c binary")
+    if len(crowded):
+
+        def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b, _, row, code, stored in entries(batches, True):
+                yield pd.DataFrame({"bucket": code, "id": b["id"].to_numpy()[row], "stored": stored, "vector": [b["vector"].iloc[i] for i in row]})
+
+        dense = cut_lineage(kept.select("id", "vector").mapInPandas(alone, "bucket long, id long, stored boolean, vector array<float>"))
+        sizes = dense.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        pairs = _grid(dense, sizes, ["bucket"], lambda b, bounds: _candidates(b, bounds, k, -1.5), COMPLETE_BLOCK)
+
+        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"a": b["a"], "b": [int(v).to_bytes(8, "little", signed=True) for v in b["b"]], "c": [np.float64(v).tobytes() for v in b["cosine"]]})
+
+        lists = lists.unionByName(pairs.mapInPandas(listed, "a long, b binary, c binary"))
+
+    def last(rows: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        size_of = np.array([len(v) // 8 for v in rows["b"]])
+        owner = np.repeat(rows["a"].to_numpy(), size_of)
+        a, b, c = _merge(owner, np.frombuffer(b"".join(rows["b"]), np.int64), np.frombuffer(b"".join(rows["c"]), np.float64), k)
+        return pd.DataFrame({"a": a, "b": b, "cosine": c})
+
+    return _runs(lists, ["a"], last, CANDIDATES)
+
+
+def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: float = -1.0, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES, bucket_rows: int = BUCKET_ROWS, seed: int = 7, complete: bool = False, goal: int = BUCKET_GOAL) -> DataFrame:
     """Rows (``a``, ``b``, ``cosine``, ``rank``): of every vector ``a`` the ``k`` most similar found, at ``least`` or more.
 
     Takes part: unique long ids with vectors of ``size`` finite components, not all zero; others are left out.
     Ties go to the lesser id. Every vector is indexed; ``least`` only leaves out neighbours below it. Vectors
     whose components differ only by a common factor have cosine 1 but count as copies only if equal.
     ``complete`` compares every vector with every other instead of hashing: nothing is lost, at a cost that is
-    quadratic in the rows. Hashing serves high thresholds; most true neighbours at low cosines share no bucket.
+    quadratic in the rows. With a threshold the given tables and probes are used. Without one (``least`` of -1)
+    most true neighbours share no bucket, so as many buckets are made as leave about ``goal`` rows in each, and the
+    tables and probes are those that meet ``FIT_RECALL`` of the true neighbours of a sample of ``FIT_QUERIES`` rows.
     """
     rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector), size)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("vector"))
     rows = rows.withColumn("copy", F.xxhash64("vector"))
@@ -279,6 +492,8 @@ def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: f
     if complete:
         every = kept.select(F.lit(0).cast("long").alias("bucket"), "id", F.lit(True).alias("stored"), "vector")
         found = _grid(every, every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), ["bucket"], exact, COMPLETE_BLOCK, COMPLETE_CELLS)
+    elif least <= -1:
+        found = _hashed(kept, size, k, seed, goal, bucket_rows)
     else:
         hashed = cut_lineage(kept.select("id", "vector").mapInPandas(_hash(size, tables, hashes, probes, seed), "id long, bucket long, stored boolean, q binary"))
         rough = least - SLACK

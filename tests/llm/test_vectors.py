@@ -100,21 +100,42 @@ def test_near_copies_keep_their_ten_nearest(spark, noise):
         assert recall > 0.99, (limit, recall)
 
 
-def test_nearest_of_every_sample_without_threshold(spark, data):
-    queries = pytest.importorskip("framelake.llm.queries")
-    samples = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/samples.parquet").select("sample_id", "vector").collect()]
-    good = sorted((i, v) for i, v in samples if v is not None and len(v) == 64 and all(c is not None and np.isfinite(c) for c in v) and any(v))
-    u = np.array([v for _, v in good], float)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
+def recall_of(spark, x, **kw):
+    """Share of the true ten nearest of every row (by value, so ties are equal), and rows with fewer than ten."""
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     s = u @ u.T
-    np.fill_diagonal(s, -2)
-    want = {i: sorted(row.tolist(), reverse=True)[:10] for (i, _), row in zip(good, s)}
-    place = {i: n for n, (i, _) in enumerate(good)}
-    got = {}
-    for r in queries.QUERIES["p3_nearest"](spark, data).collect():
-        got.setdefault(r["sample_id"], {})[r["rank"]] = s[place[r["sample_id"]], place[r["neighbour_id"]]]
-    assert len(want) > 100 and set(got) == set(want)
-    assert all(sorted(m) == list(range(1, 11)) and np.allclose([m[k] for k in sorted(m)], want[i], atol=1e-9) for i, m in got.items())
+    np.fill_diagonal(s, -3)
+    tenth = -np.partition(-s, 9, axis=1)[:, 9]
+    got = nearest(table(spark, x), "id", "v", 64, 10, **kw).select("a", "b").toPandas()
+    assert not got.duplicated().any() and (got.groupby("a").size() <= 10).all()
+    good = s[got["a"], got["b"]] >= tenth[got["a"]] - 1e-9
+    return np.bincount(got["a"][good], minlength=len(x)) / 10
+
+
+def test_nearest_without_threshold(spark, data):
+    samples = [r[0] for r in spark.read.parquet(f"{data[: -len('sf0.001')]}sf0.01/samples.parquet").select("vector").collect()]
+    x = np.array([v for v in samples if v is not None and len(v) == 64 and all(c is not None and np.isfinite(c) for c in v) and any(v)], np.float32)
+    for goal in (1024, 64):
+        assert recall_of(spark, x, goal=goal).mean() >= 0.9
+
+
+@pytest.mark.parametrize("noise", [0.1, 0.03, 0.01, 0.003])
+def test_nearest_in_a_group_of_near_copies(spark, noise):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1, 64)) + noise * rng.normal(size=(1200, 64)), rng.normal(size=(2000, 64))]).astype(np.float32)
+    found = recall_of(spark, x, goal=128, bucket_rows=500)
+    assert found[:1200].mean() >= 0.9 and found[1200:].mean() >= 0.9
+
+
+def test_bucket_widths_follow_the_rows():
+    from framelake.llm.neighbours import all_codes, bucket_widths, rotations
+
+    assert [bucket_widths(n, 64) for n in (0, 1184, 118_600, 10**9)] == [(1,), (1,), (32,), (64, 64, 16)]
+    for n in (10**4, 10**6, 10**8, 10**11):
+        assert n / 2048 <= 2 * np.prod([2 * w for w in bucket_widths(n, 64)]) and np.prod([2 * w for w in bucket_widths(n, 64)]) <= max(2, n / 512)
+    x = np.random.default_rng(0).normal(size=(50, 64))
+    codes = all_codes(x, rotations(64, 6, 1), (64, 8), 20)
+    assert codes.shape == (50, 3, 21) and all(len(set(r.reshape(-1))) == 63 for r in codes)
 
 
 def test_complete_search_loses_nothing(spark):
