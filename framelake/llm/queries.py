@@ -106,4 +106,19 @@ def p9_stretches(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
-SQL: dict[str, str] = {}
+
+_KEY = r"nullif(lower(regexp_replace({}, '[\s\x{{00a0}}\x{{3000}}\x{{200b}}]+', '', 'g')), '')"
+SQL: dict[str, str] = {
+    # keys and sources are the nodes; the least pair of a component spreads over its edges
+    "p5_found": f"""
+with recursive v as (select pair_id, {_KEY.format("plus_media")} as p, {_KEY.format("minus_media")} as m from ranked_pairs),
+k as (select * from (select pair_id, unnest([p, m]) as key from v) where key is not null),
+src as (select distinct {_KEY.format("media_kind || ':' || media_id")} as key, source_key from samples where source_key is not null),
+e as (select 'k:' || p as a, 'k:' || m as b from v where p is not null and m is not null and p <> m union select 'k:' || key, 's:' || source_key from src where key in (select key from k)),
+ee as (select a, b from e union select b, a from e),
+init as (select 'k:' || key as node, min(pair_id) as root from k group by 1 union all select distinct 's:' || source_key, 9223372036854775807 from src where key in (select key from k)),
+lab(node, root) using key (node) as (select node, root from init
+  union select ee.b, min(l.root) from lab l join ee on ee.a = l.node join recurring.lab o on o.node = ee.b where l.root < o.root group by ee.b),
+g as (select distinct pair_id, root as group_id from k join lab on lab.node = 'k:' || k.key)
+select pair_id, group_id from g qualify count(*) over (partition by group_id) > 1""",
+}
