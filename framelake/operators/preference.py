@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.score import AESTHETIC_WEIGHT, PERSONAL_WEIGHT
+from framelake.operators.skew import dense_rank_blocks
 
 #: Fixed values of the trainer and its gate.
 BASE_LAMBDA, LEARNING_RATE, ITERATIONS, NORM_CAP = 0.1, 0.25, 240, 4.0
@@ -36,13 +37,13 @@ def signal_label(signal: Column, value: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), out.otherwise(F.lit(0.0))))
 
 
-def strongest_labels(events: DataFrame) -> DataFrame:
+def strongest_labels(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per media the label of greatest size, the earliest of equals; neutral labels don't count.
 
-    ``events``: ``media``, ``label``, ``created_at``, ``id``.
+    ``events``: ``by`` (``media`` if not given), ``label``, ``created_at``, ``id``.
     """
     order = F.struct(F.abs("label"), -F.unix_micros(F.col("created_at").cast("timestamp")), -F.col("id"))
-    return events.where("label <> 0").groupBy("media").agg(F.max_by("label", order).alias("label"))
+    return events.where("label <> 0").groupBy(*(by or ["media"])).agg(F.max_by("label", order).alias("label"))
 
 
 def net_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -57,16 +58,24 @@ def net_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
     return net.select(*by, F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("plus"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("minus"), F.abs("net").alias("weight"))
 
 
-def stride_sample(rows: DataFrame, order: list[str], cap: int = POOL_CAP) -> DataFrame:
-    """At most ``cap`` rows: the first of each of ``cap`` equal strides of the ordered rows.
+#: First characters of a media key that make a block of keys to be ranked together.
+KEY_BLOCK = 12
 
-    The pools of one owner and context are meant; they are ranked in one window.
+
+def stride_sample(rows: DataFrame, order: list[str], cap: int = POOL_CAP, by: list[str] | None = None) -> DataFrame:
+    """At most ``cap`` rows of each group ``by``: the first of each of ``cap`` equal strides of the ordered rows.
+
+    Rows are ranked in blocks of their ``order``, so a pool of any size is no single task. Equal rows may change places.
     """
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    slot = F.floor(F.col("_i") * cap / F.col("_n"))
-    first = F.floor(slot * F.col("_n") / cap) == F.col("_i")
-    later = F.floor((slot + 1) * F.col("_n") / cap) == F.col("_i")
-    return numbered.where((F.col("_n") <= cap) | first | (later & (slot + 1 < cap))).drop("_i", "_n")
+    group = by or ["_one"]
+    pool = rows if by else rows.withColumn("_one", F.lit(0))
+    block = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in order[:-1]], F.substring(order[-1], 1, KEY_BLOCK))
+    numbered = dense_rank_blocks(pool, group, block, [F.col(c) for c in order], "_i").withColumn("_i", F.col("_i") - 1)
+    sizes = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = numbered.join(F.broadcast(sizes) if not by else sizes, group)
+    slot = F.floor((F.col("_i") * cap + F.col("_n") - 1) / F.col("_n"))
+    chosen = (slot < cap) & (F.floor(slot * F.col("_n") / cap) == F.col("_i"))
+    return numbered.where((F.col("_n") <= cap) | chosen).drop("_i", "_n", "_one")
 
 
 def cross_pairs(positives: DataFrame, negatives: DataFrame, cap: int = POOL_CAP) -> DataFrame:
@@ -79,8 +88,8 @@ def cross_pairs(positives: DataFrame, negatives: DataFrame, cap: int = POOL_CAP)
 def held_out_media(pairs: DataFrame, by: list[str], every: int = HOLD_OUT_EVERY) -> DataFrame:
     """The media of each group that are held out: every third in the order of their keys."""
     media = pairs.select(*by, F.explode(F.array("plus", "minus")).alias("media")).distinct()
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("media")) - 1
-    return media.withColumn("_p", place).where(F.col("_p") % every == every - 1).drop("_p")
+    placed = dense_rank_blocks(media, by, F.substring("media", 1, KEY_BLOCK), [F.col("media")], "_p")
+    return placed.where(F.col("_p") % every == 0).drop("_p")
 
 
 def split_pairs(pairs: DataFrame, by: list[str], every: int = HOLD_OUT_EVERY) -> DataFrame:

@@ -14,6 +14,7 @@ from framelake.functions.vector import dot, searchable
 
 KINDS = ("all", "photo", "video", "span")
 NEAR_DUPLICATE = 0.95
+TERMS = ("semantic", "text_boost", "editorial", "aesthetic", "penalty", "personal", "context_fit", "total")
 
 
 def parse_kind(kind: str) -> str:
@@ -104,7 +105,8 @@ def gated(profiles: DataFrame) -> DataFrame:
 def mixed_search(families: dict[str, DataFrame], k: int, kind: str = "all", spans: DataFrame | None = None) -> DataFrame:
     """Top ``k`` of every family by score, then of their union by total; text-only span hits follow at the end.
 
-    Each family has ``asset_id``, ``cosine``, ``score`` and the columns of ``composed``. A row below its family's
+    Each family has ``asset_id``, ``cosine``, ``score`` and the columns of ``composed``, and may have the learned terms
+    ``personal_raw`` (unweighted) and ``fit_raw``. A row below its family's
     cut can't return through later terms. ``spans`` (``asset_id``, ``place``) are appended after the cut.
     """
     wanted = {"photo": ["photo"], "video": ["shot"], "all": list(families), "span": []}[parse_kind(kind)]
@@ -112,12 +114,13 @@ def mixed_search(families: dict[str, DataFrame], k: int, kind: str = "all", span
     for name in wanted:
         if name in families:
             cut = families[name].orderBy(F.desc("score"), F.desc("cosine"), "asset_id").limit(k)
-            part = composed(cut).select(F.lit(name).alias("asset_type"), "asset_id", "semantic", "text_boost", "editorial", "aesthetic", "penalty", "total")
+            learned = {"personal": F.col("personal_raw"), "fit": F.col("fit_raw")} if "personal_raw" in cut.columns else {}
+            part = composed(cut, **learned).select(F.lit(name).alias("asset_type"), "asset_id", *TERMS)
             parts = part if parts is None else parts.unionByName(part)
     ranked = top(parts, k, [F.desc("total"), F.col("asset_id")]) if parts is not None else None
     if spans is not None and kind in ("all", "span"):
         nothing = F.lit(0.0)
-        hits = spans.select(F.lit("span").alias("asset_type"), "asset_id", *[nothing.alias(c) for c in ("semantic", "text_boost", "editorial", "aesthetic", "penalty", "total")], (F.col("place") + (k if ranked is not None else 0)).alias("rank"))
+        hits = spans.select(F.lit("span").alias("asset_type"), "asset_id", *[nothing.alias(c) for c in TERMS], (F.col("place") + (k if ranked is not None else 0)).alias("rank"))
         ranked = hits if ranked is None else ranked.unionByName(hits)
     return ranked
 

@@ -226,7 +226,10 @@ def source_cap(spark: SparkSession, root: str) -> DataFrame:
     return S.cap_per_source(best, "source_key", 2).select("sample_id", "source_key", "rank")
 
 
-@query()
+@query(f"""with recursive {_UNIT}, best as (select sample_id, z, row_number() over (order by overall desc, sample_id) as nth from w where overall is not null and not isnan(overall) order by overall desc, sample_id limit 300),
+walk as (select * from (values (0::bigint, cast([] as struct(id bigint, v double[])[]), false)) v(nth, anchors, kept)
+ union all select b.nth, case when len(near) = 0 then list_append(k.anchors, {{id: b.sample_id, v: b.z}}) else k.anchors end, len(near) = 0 from (select k.*, b.nth as at_, b.sample_id, b.z, list_filter(k.anchors, lambda x: list_dot_product(x.v, b.z) >= 0.95) as near from walk k join best b on b.nth = k.nth + 1) k join best b on b.nth = k.at_)
+select b.nth as rank, cast(b.sample_id as varchar) as asset_id, cast(null as varchar) as source, 'asset:' || b.sample_id as anchor from walk join best b using (nth) where kept""")
 def near_duplicate_cap(spark: SparkSession, root: str) -> DataFrame:
     rows = _units(spark, root).where("overall is not null and not isnan(overall)")
     best = S.top(rows, 300, [F.desc("overall"), F.col("sample_id")])
@@ -440,7 +443,14 @@ def plan_next_position(spark: SparkSession, root: str) -> DataFrame:
     return Q.next_number(table(spark, root, "item_sequence"), "plan_id", "position", 0)
 
 
-@query()
+@query(f"""with {_ITEMS}, oz as (select plan_id, position, media_id, case when v is not null and sqrt(list_dot_product(v, v)) > 0 then list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) end as u, row_number() over (partition by plan_id order by position) - 1 as i, count(*) over (partition by plan_id) as n from it),
+fl as (select a.plan_id, a.i, a.n, a.position as np, b.position, b.media_id, coalesce(list_dot_product(a.u, b.u) >= 0.95, false) as near from oz a join oz b on b.plan_id = a.plan_id and b.i = a.i + 1),
+ct as (select plan_id, sum(case when near then 1 else 0 end) as total from fl group by 1),
+mv as (select * from fl where near qualify row_number() over (partition by plan_id, media_id order by i) = 1),
+af as (select mv.*, total, total - 1 - case when coalesce(nx.near, false) then 1 else 0 end + case when coalesce(list_dot_product(x.u, y.u) >= 0.95, false) then 1 else 0 end + case when coalesce(list_dot_product(z.u, m.u) >= 0.95, false) then 1 else 0 end as aft
+  from mv join ct using (plan_id) left join fl nx on nx.plan_id = mv.plan_id and nx.i = mv.i + 1 left join oz x on x.plan_id = mv.plan_id and x.i = mv.i left join oz y on y.plan_id = mv.plan_id and y.i = mv.i + 2
+  left join oz z on z.plan_id = mv.plan_id and z.i = mv.n - 1 left join oz m on m.plan_id = mv.plan_id and m.i = mv.i + 1 where mv.i + 1 < mv.n - 1)
+select plan_id, position, media_id, np as neighbor_position, cast(total as integer) as before, cast(aft as integer) as after from af where aft < total""")
 def plan_suggestions(spark: SparkSession, root: str) -> DataFrame:
     return Q.suggestions(_plan_items(spark, root))
 
@@ -635,12 +645,22 @@ def score_series(spark: SparkSession, root: str) -> DataFrame:
     return G.content_delta(rows, "user_id", "ts", "px").select("user_id", "event_id", F.round("score", 6).alias("score"))
 
 
-@query()
+#: The fold of the cut detector, one frame of every series at a time.
+_FOLD = f"""with recursive d0 as (select user_id, epoch_us(ts) as us, coalesce(abs(value - lag(value) over (partition by user_id order by ts)), 0.0) as score from events),
+f as (select user_id, (us - min(us) over (partition by user_id)) / 1e6 as t, score, row_number() over (partition by user_id order by us, score) as i from d0),
+k as (select f.user_id, 0::bigint as i, 0.0::double as last, 0::bigint as run, 0.0::double as prev, true as falling, false as made, false as cut, 0.0::double as t, 0.0::double as score from f group by 1
+ union all select user_id, i, case when cut then t else last end, case when live then run + 1 else 0 end, score, case when not live then true when run = 0 then true when score > prev + 2.220446049250313e-16 then false else falling end,
+   live and (((run > 0) and made) or (score >= {G.THRESHOLD} and legal)), cut, t, score
+ from (select *, case when live then score >= {G.THRESHOLD} and not (run > 0 and made) and legal else run > 0 and made and run >= 3 and falling and legal end as cut
+  from (select f.user_id, f.i, k.last, k.run, k.prev, k.falling, k.made, f.t, f.score, f.t - k.last + 2.220446049250313e-16 >= {G.LEAST_SCENE_S} as legal, f.score >= {G.THRESHOLD} or (k.run > 0 and f.score >= {G.THRESHOLD * G.FLOOR_SHARE}) as live from k join f on f.user_id = k.user_id and f.i = k.i + 1)))"""
+
+
+@query(_FOLD + " select user_id, t, score from k where cut")
 def cut_detection(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "events").select("user_id", "event_id", "ts", F.array("value").alias("px"))
-    series = G.content_delta(rows, "user_id", "ts", "px").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "score")
-    start = series.groupBy("user_id").agg(F.min("t").alias("t0"))
-    return G.detect_cuts(series.join(start, "user_id").select("user_id", (F.col("t") - F.col("t0")).alias("t"), "score"), "user_id")
+    series = G.content_delta(rows, "user_id", "ts", "px").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "score")
+    start = series.groupBy("user_id").agg(F.min("us").alias("first"))
+    return G.detect_cuts(series.join(start, "user_id").select("user_id", ((F.col("us") - F.col("first")) / 1e6).alias("t"), "score"), "user_id")
 
 
 _SECONDS = "(epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6"

@@ -39,19 +39,28 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key)
 
 
-def cut_lineage(df: DataFrame, forget: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and return the stored rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master without that setting (tests, a laptop) uses a temporary folder; a cluster without it is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "framelake-checkpoints"))
+    return context.getCheckpointDir()
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is
-    absent (tests, a laptop) a temporary folder is used. The files outlive any lost executor.
+
+def cut_lineage(df: DataFrame, forget: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and return the stored rows; the files outlive any lost executor.
 
     A stored plan keeps the size estimate of the plan before it. The estimate of a join is a product, so over
     the rounds of an iteration it becomes a number of millions of digits; ``forget`` drops it.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "framelake-checkpoints"))
+    shared_folder(spark)
     stored = df.checkpoint(eager=True)
     if not forget:
         return stored

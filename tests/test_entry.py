@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from framelake.plans import core_data, library
+from framelake.plans import catalogue, core_data, library
 
 
 def _plain(v):
@@ -24,7 +24,7 @@ def db(data):
     return c
 
 
-@pytest.mark.parametrize("name", sorted({**core_data.SQL, **library.SQL}))
+@pytest.mark.parametrize("name", sorted({**core_data.SQL, **library.SQL, **catalogue.SQL}))
 def test_query_matches_sql(spark, data, db, name):
     df = entry.queries()[name](spark, data)
     columns = sorted(df.columns)
