@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.words import characters
+
 LENGTHS = (1, 2, 3, 4)
 LANDMARKS = 1500
 RIDGE = 0.005
@@ -35,7 +37,7 @@ NOTE_SHARE = 4
 CHARS_PER_STEP = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
-_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]+")
+_FORMAT = characters(("Cf",))
 _MARKS = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) in ("Mn", "Me")}
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")

@@ -2,7 +2,7 @@
 
 The test items form a BM25 inverted index in blocks of items. Every training document is cut into passages
 that overlap by one word less than the run asked for, so each run lies whole in a passage, and every passage is
-a query. Impacts are divided by the item's own threshold, the least score that a passage holding any run of
+a query. A word of no item ends a passage, as no run reaches over it. Impacts are divided by the item's own threshold, the least score that a passage holding any run of
 that length of the item can have; so no leak scores below 1. As in block-max WAND a passage whose terms' upper
 bounds sum to less than 1 is skipped, then every block whose block maxima do; only the rest are scored
 exactly. Both bounds are worked out for a batch of passages at a time. Hits are verified word by word.
@@ -119,19 +119,25 @@ def search(ix: Index, docs: list[np.ndarray], passage: int = PASSAGE, block: int
     none = np.zeros(0, np.int64)
     if not len(ix.items) or not docs:
         return none, none, stats
-    text, length = np.concatenate(docs), np.array([len(d) for d in docs])
-    base = np.cumsum(length) - length
+    text, size_of = np.concatenate(docs), np.array([len(d) for d in docs])
+    # a word of no item ends every run that an item could share: only the stretches between such words are cut up
+    doc = np.repeat(np.arange(len(docs)), size_of)
+    open_ = text >= 0
+    start = np.nonzero(open_ & np.append(True, ~open_[:-1] | (doc[1:] != doc[:-1])))[0] if len(text) else none
+    stop = np.nonzero(open_ & np.append(~open_[1:] | (doc[1:] != doc[:-1]), True))[0] + 1 if len(text) else none
+    long = stop - start >= ix.run
+    base, length = start[long], (stop - start)[long]
+    if not len(base):
+        return none, none, stats
     step = passage - ix.run + 1
     number = np.where(length >= ix.run, np.maximum(1, -(-(length - ix.run + 1) // step)), 0)
-    of, k = _spans(np.zeros(len(docs), np.int64), number)
+    of, k = _spans(np.zeros(len(base), np.int64), number)
     begin = base[of] + k * step
     end = np.minimum(begin + passage, base[of] + length[of])
     stats["passages"] = len(of)
     p, at = _spans(begin, end - begin)
-    t = text[at]
-    known = t >= 0
     size = len(ix.vocabulary)
-    pair = np.unique(p[known] * size + t[known])
+    pair = np.unique(p * size + text[at])
     p, t = pair // size, pair % size
     bound = np.bincount(p, ix.best[t], len(of))
     alive = bound >= 1
@@ -165,7 +171,7 @@ def search(ix: Index, docs: list[np.ndarray], passage: int = PASSAGE, block: int
     exact = np.ones(len(w), bool)
     for j in range(ix.run):
         exact &= text[at[w] + j] == ix.text[ix.gram_at[g] + j]
-    found = np.unique(of[hp[v[w[exact]]]] * len(ix.items) + hi[v[w[exact]]])
+    found = np.unique(doc[base[of[hp[v[w[exact]]]]]] * len(ix.items) + hi[v[w[exact]]])
     return found // len(ix.items), found % len(ix.items), stats
 
 
