@@ -24,7 +24,7 @@ RUN = 13
 PASSAGE = 64
 BLOCK = 16
 K1, B = 1.2, 0.75
-ITEMS_PER_INDEX = 20_000
+ITEMS_PER_INDEX, INDEXES_PER_PASS = 20_000, 5
 WORDS_PER_STEP = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,9 +75,8 @@ def build_index(items: list[tuple[int, list[str]]], run: int = RUN, block: int =
     impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1e-9)))
     floor = np.ones(n)
     for d, c in enumerate(coded):
-        own = np.zeros(size)
         mine = slice(*np.searchsorted(doc, [d, d + 1]))
-        own[term[mine]] = impact[mine]
+        own = dict(zip(term[mine].tolist(), impact[mine].tolist()))
         # the least sum over distinct terms of any run
         seen, least, total, counts = {}, np.inf, 0.0, {}
         for i, t in enumerate(c.tolist()):
@@ -178,37 +177,38 @@ def search(ix: Index, docs: list[np.ndarray], passage: int = PASSAGE, block: int
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = RUN, passage: int = PASSAGE, per_index: int = ITEMS_PER_INDEX) -> DataFrame:
     """Rows (``doc_id``, ``item_id``), once each: document and item share ``run`` or more consecutive words.
 
-    Whole texts are read, one pass per index; an index holds ``per_index`` items at most, so what is broadcast
-    has a fixed bound and a larger test set only takes more passes. Null and empty texts leak nothing; repeated
+    Whole texts are read, in one pass for ``INDEXES_PER_PASS`` indexes of at most ``per_index`` items each, so what is
+    broadcast has a fixed bound and a larger test set only takes more passes. Null and empty texts leak nothing; repeated
     rows change nothing; items with equal text are all reported.
     """
     count = items.where(F.col(item_id).isNotNull()).count()
-    passes = max(1, -(-count // per_index))
+    parts = max(1, -(-count // per_index))
     found = None
-    for k in range(passes):
-        part = items.where(F.col(item_id).isNotNull() & (F.pmod(F.xxhash64(item_id), F.lit(passes)) == k)).select(item_id, item_text)
-        index = documents.sparkSession.sparkContext.broadcast(build_index([(r[0], words(r[1])) for r in part.toLocalIterator()], run))
-
-        def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ix = index.value
-            code = ix.vocabulary.get
-
-            def work(ids: list, docs: list[np.ndarray]) -> pd.DataFrame:
-                d, i, _ = search(ix, docs, passage)
-                return pd.DataFrame({"doc_id": np.array(ids, np.int64)[d], "item_id": ix.items[i]})
+    for k in range(0, parts, INDEXES_PER_PASS):
+        held = []
+        for n in range(k, min(parts, k + INDEXES_PER_PASS)):
+            part = items.where(F.col(item_id).isNotNull() & (F.pmod(F.xxhash64(item_id), F.lit(parts)) == n)).select(item_id, item_text)
+            held.append(documents.sparkSession.sparkContext.broadcast(build_index([(r[0], words(r[1])) for r in part.toLocalIterator()], run)))
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            def work(ids: list, texts: list[list[str]]) -> Iterator[pd.DataFrame]:
+                for shared in held:
+                    ix = shared.value
+                    code = ix.vocabulary.get
+                    d, i, _ = search(ix, [np.fromiter((code(w, -1) for w in t), np.int64, len(t)) for t in texts], passage)
+                    yield pd.DataFrame({"doc_id": np.array(ids, np.int64)[d], "item_id": ix.items[i]})
 
             for b in batches:
-                ids, docs, total = [], [], 0
+                ids, texts, total = [], [], 0
                 for i, x in zip(b["doc_id"], b["text"]):
-                    found = words(x)
                     ids.append(i)
-                    docs.append(np.fromiter((code(w, -1) for w in found), np.int64, len(found)))
-                    total += len(found)
+                    texts.append(words(x))
+                    total += len(texts[-1])
                     if total >= WORDS_PER_STEP:
-                        yield work(ids, docs)
-                        ids, docs, total = [], [], 0
+                        yield from work(ids, texts)
+                        ids, texts, total = [], [], 0
                 if ids:
-                    yield work(ids, docs)
+                    yield from work(ids, texts)
 
         rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(scan, "doc_id long, item_id long")
         found = rows if found is None else found.unionByName(rows)

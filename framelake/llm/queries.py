@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,28 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("context").alias("context_key"), F.col("a").alias("media_a"), F.col("b").alias("media_b"))
 
 
+PLANTED_FIRST, PLANTED_DRAW = 0.6, -0.3
+
+
+def p2_planted(spark: SparkSession, root: str) -> DataFrame:
+    """The table's pairs as one context with outcomes drawn from known strengths, draws and an advantage of the plus side.
+
+    The table itself records neither draws nor which side came first; this shows both terms of the model at work.
+    """
+
+    def strength(c):
+        return F.pmod(F.xxhash64(c), F.lit(1000)) / 1000.0 * 3 - 1.5
+
+    rows = table(spark, root, "ranked_pairs").select("pair_id", loose_key(F.col("plus_media")).alias("p"), loose_key(F.col("minus_media")).alias("m")).where("p is not null and m is not null")
+    lead = (strength(F.col("p")) - strength(F.col("m")) + PLANTED_FIRST) / 2
+    one, two, none = F.exp(lead), F.exp(-lead), F.lit(float(np.exp(PLANTED_DRAW)))
+    u = F.pmod(F.xxhash64("pair_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0 * (one + two + none)
+    lost = (u >= one) & (u < one + two)
+    votes = rows.select(F.lit("planted").alias("context"), F.when(lost, F.col("m")).otherwise(F.col("p")).alias("winner"), F.when(lost, F.col("p")).otherwise(F.col("m")).alias("loser"), F.lit(1.0).alias("weight"), F.col("p").alias("first"), (u >= one + two).alias("draw"))
+    found = rank_items(cut_lineage(pair_counts(votes)))
+    return found.select(F.col("item").alias("media"), "strength", strength(F.col("item")).alias("planted"), "first_term", "draw_term", "rank")
+
+
 def _groups(spark: SparkSession, root: str) -> DataFrame:
     pairs = table(spark, root, "ranked_pairs").select("pair_id", loose_key(F.col("plus_media")).alias("plus"), loose_key(F.col("minus_media")).alias("minus"))
     media = F.when(F.col("media_kind").isNotNull() & F.col("media_id").isNotNull(), F.concat_ws(":", "media_kind", "media_id"))
@@ -105,7 +128,7 @@ def p9_stretches(spark: SparkSession, root: str) -> DataFrame:
     return _languages(spark, root)[2]
 
 
-QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p5_found": p5_found, "p5_splits": p5_splits}
+QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_subset": p4_subset, "p2_found": p2_found, "p2_ranking": p2_ranking, "p2_planted": p2_planted, "p5_found": p5_found, "p5_splits": p5_splits}
 
 _KEY = r"nullif(lower(regexp_replace({}, '[\s\x{{00a0}}\x{{3000}}\x{{200b}}]+', '', 'g')), '')"
 SQL: dict[str, str] = {

@@ -3,8 +3,8 @@
 Strengths maximise a penalised likelihood of comparisons with draws and an advantage for the item shown first
 (Davidson and Beaver's form): with strengths x and y, first-position term d and draw term n the weights of
 "first wins", "second wins" and "draw" are exp(x + d), exp(y) and exp(n + (x + d + y) / 2). The function is
-concave, so the Newton steps below end at its one maximum. Both terms are left out of a context in which no
-draw, or no comparison with a known first item, occurs.
+concave, so the Newton steps below end at its one maximum. Both terms are always fitted, under the same penalty:
+where no first item is known its term stays 0, and where no draw occurs the draw term falls as far as the penalty lets it.
 
 Comparisons are first aggregated to one row per context and pair. A context with at most ``LOCAL_PAIRS`` such
 rows is solved in one task; a larger one by the same Newton steps over DataFrames, so no context is too large.
@@ -22,6 +22,8 @@ from framelake.session import cut_lineage
 
 LOCAL_PAIRS = 2_000_000
 PENALTY = 0.1
+#: A solver ends when no unknown moves this far in a Newton step, and raises if that doesn't happen.
+SETTLED = 1e-7
 
 
 def pair_counts(votes: DataFrame) -> DataFrame:
@@ -57,8 +59,6 @@ def pair_counts(votes: DataFrame) -> DataFrame:
 def solve_context(a: np.ndarray, b: np.ndarray, order: np.ndarray, wa: np.ndarray, wb: np.ndarray, wd: np.ndarray, items: int, penalty: float) -> tuple[np.ndarray, float, float, np.ndarray]:
     """Strengths, first-position term, draw term and curvatures; ``order`` is +1, -1 or 0 for a first, b first, unknown."""
     total = wa + wb + wd
-    use = np.array([1.0] * items + [float((order != 0).any()), float((wd > 0).any())])
-
     def spread(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         half = (x[a] - x[b]) / 2 + order * x[-2] / 2
         return half, -half, np.full(len(a), x[-1])
@@ -67,12 +67,12 @@ def solve_context(a: np.ndarray, b: np.ndarray, order: np.ndarray, wa: np.ndarra
         half = (g1 - g2) / 2
         out = np.bincount(a, half, items + 2) - np.bincount(b, half, items + 2)
         out[-2], out[-1] = (order * half).sum(), g3.sum()
-        return out * use
+        return out
 
     def chances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         u1, u2, u3 = spread(x)
-        top = np.maximum(np.abs(u1), u3 if use[-1] else -np.inf)
-        e1, e2, e3 = np.exp(u1 - top), np.exp(u2 - top), np.exp(u3 - top) * use[-1]
+        top = np.maximum(np.abs(u1), u3)
+        e1, e2, e3 = np.exp(u1 - top), np.exp(u2 - top), np.exp(u3 - top)
         z = e1 + e2 + e3
         return e1 / z, e2 / z, e3 / z, wa * u1 + wb * u2 + wd * u3 - total * (top + np.log(z))
 
@@ -80,10 +80,10 @@ def solve_context(a: np.ndarray, b: np.ndarray, order: np.ndarray, wa: np.ndarra
     p1, p2, p3, like = chances(x)
     best = like.sum()
     for _ in range(60):
-        grad = gather(wa - total * p1, wb - total * p2, wd - total * p3) - penalty * x * use
+        grad = gather(wa - total * p1, wb - total * p2, wd - total * p3) - penalty * x
 
         def curve(s: np.ndarray) -> np.ndarray:
-            d1, d2, d3 = spread(s * use)
+            d1, d2, d3 = spread(s)
             mean = p1 * d1 + p2 * d2 + p3 * d3
             return gather(total * p1 * (d1 - mean), total * p2 * (d2 - mean), total * p3 * (d3 - mean)) + penalty * s
 
@@ -110,13 +110,15 @@ def solve_context(a: np.ndarray, b: np.ndarray, order: np.ndarray, wa: np.ndarra
         size = 1.0
         while size > 1e-6:
             p1, p2, p3, like = chances(x + size * step)
-            value = like.sum() - penalty / 2 * (((x + size * step) * use) ** 2).sum()
+            value = like.sum() - penalty / 2 * ((x + size * step) ** 2).sum()
             if value >= best - 1e-12 * abs(best):
                 break
             size /= 2
         x, best = x + size * step, value
-        if np.abs(size * step).max() < 1e-7:
+        if np.abs(size * step).max() < SETTLED:
             break
+    else:
+        raise RuntimeError(f"{items} items not settled")
     return x[:items], float(x[-2]), float(x[-1]), diagonal[:items]
 
 
@@ -139,22 +141,24 @@ ITEMS = "context string, item string, strength double, stderr double, votes long
 _FIRST, _DRAW = "\x01first", "\x01draw"
 
 
-def _solve_spread(pairs: DataFrame, penalty: float, steps: int = 30, inner: int = 25) -> DataFrame:
+def _solve_spread(pairs: DataFrame, penalty: float, steps: int = 60, inner: int = 200) -> DataFrame:
     """The same maximum for contexts of any size: Newton steps by preconditioned conjugate gradients over DataFrames.
 
     The unknowns are rows; the first-position and draw terms are two more rows of each context. A product with
-    the curvature is one pass over the pairs, whose sums combine before the shuffle.
+    the curvature is one pass over the pairs, whose sums combine before the shuffle. The two terms and the numbers of
+    a conjugate step, one row a context, are broadcast: only contexts beyond the local bound come here, so there are
+    no more than a fraction of the pairs over that bound. It ends as the local solver does, or raises.
     """
     order = F.when(~F.col("known"), F.lit(0.0)).when(F.col("first_a"), F.lit(1.0)).otherwise(F.lit(-1.0))
     pairs = cut_lineage(pairs.select("context", "a", "b", order.alias("o"), "wa", "wb", "wd", (F.col("wa") + F.col("wb") + F.col("wd")).alias("t"), "n"), forget=True)
     ends = pairs.select("context", F.explode(F.array("a", "b")).alias("item"), "n")
-    flags = pairs.groupBy("context").agg(F.max(F.col("o") != 0).cast("double").alias("uo"), (F.max("wd") > 0).cast("double").alias("ud"))
-    extra = flags.select("context", F.explode(F.array(F.lit(_FIRST), F.lit(_DRAW))).alias("item"), F.lit(0).cast("long").alias("votes"))
+    contexts = pairs.select("context").distinct()
+    extra = contexts.select("context", F.explode(F.array(F.lit(_FIRST), F.lit(_DRAW))).alias("item"), F.lit(0).cast("long").alias("votes"))
     items = cut_lineage(ends.groupBy("context", "item").agg(F.sum("n").alias("votes")).unionByName(extra).withColumn("x", F.lit(0.0)), forget=True)
 
     def meet(rows: DataFrame, value: DataFrame, name: str) -> DataFrame:
         def part(item: str, to: str) -> DataFrame:
-            return value.where(F.col("item") == item).select("context", F.col(name).alias(to))
+            return F.broadcast(value.where(F.col("item") == item).select("context", F.col(name).alias(to)))
 
         left, right = value.select("context", F.col("item").alias("a"), F.col(name).alias("va")), value.select("context", F.col("item").alias("b"), F.col(name).alias("vb"))
         return rows.join(left, ["context", "a"]).join(right, ["context", "b"]).join(part(_FIRST, "vo"), "context").join(part(_DRAW, "vd"), "context")
@@ -168,22 +172,22 @@ def _solve_spread(pairs: DataFrame, penalty: float, steps: int = 30, inner: int
         return rows.select("context", F.explode(parts).alias("q")).select("context", "q.*").groupBy("context", "item").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
 
     half = (F.col("va") - F.col("vb") + F.col("o") * F.col("vo")) / 2
-    e3 = F.col("ud") * F.exp("vd")
+    e3 = F.exp("vd")
     norm = F.exp(half) + F.exp(-half) + e3
     t, p1, p2, p3 = F.col("t"), F.col("p1"), F.col("p2"), F.col("p3")
     for _ in range(steps):
-        at = meet(pairs, items, "x").join(flags, "context")
-        at = at.select("context", "a", "b", "o", "ud", "wa", "wb", "wd", "t", (F.exp(half) / norm).alias("p1"), (F.exp(-half) / norm).alias("p2"), (e3 / norm).alias("p3"))
+        at = meet(pairs, items, "x")
+        at = at.select("context", "a", "b", "o", "wa", "wb", "wd", "t", (F.exp(half) / norm).alias("p1"), (F.exp(-half) / norm).alias("p2"), (e3 / norm).alias("p3"))
         at = cut_lineage(at, forget=True)
-        grad = scatter(at, ((F.col("wa") - t * p1) - (F.col("wb") - t * p2)) / 2, F.col("ud") * (F.col("wd") - t * p3), t * ((p1 + p2) / 4 - F.pow((p1 - p2) / 2, 2)), t * p3 * (1 - p3))
+        grad = scatter(at, ((F.col("wa") - t * p1) - (F.col("wb") - t * p2)) / 2, F.col("wd") - t * p3, t * ((p1 + p2) / 4 - F.pow((p1 - p2) / 2, 2)), t * p3 * (1 - p3))
         state = items.join(grad, ["context", "item"]).select("context", "item", "votes", "x", (F.col("v") - penalty * F.col("x")).alias("r"), (F.col("c") + penalty).alias("g"))
         state = cut_lineage(state.select("*", F.lit(0.0).alias("s"), (F.col("r") / F.col("g")).alias("p")), forget=True)
         start = None
         for _ in range(inner):
             d1 = (F.col("va") - F.col("vb") + F.col("o") * F.col("vo")) / 2
-            d3 = F.col("ud") * F.col("vd")
+            d3 = F.col("vd")
             mean = (p1 - p2) * d1 + p3 * d3
-            bent = scatter(meet(at, state, "p"), (t * p1 * (d1 - mean) - t * p2 * (-d1 - mean)) / 2, F.col("ud") * t * p3 * (d3 - mean), F.lit(0.0), F.lit(0.0)).drop("c")
+            bent = scatter(meet(at, state, "p"), (t * p1 * (d1 - mean) - t * p2 * (-d1 - mean)) / 2, t * p3 * (d3 - mean), F.lit(0.0), F.lit(0.0)).drop("c")
             mid = cut_lineage(state.join(bent, ["context", "item"]).withColumn("q", F.col("v") + penalty * F.col("p")).drop("v"), forget=True)
             r, q, g = F.col("r"), F.col("q"), F.col("g")
             # with z = r / g both the step and the turn follow from these sums of one pass
@@ -191,19 +195,24 @@ def _solve_spread(pairs: DataFrame, penalty: float, steps: int = 30, inner: int
             k = F.when(F.col("pq") > 0, F.col("rz") / F.col("pq")).otherwise(F.lit(0.0))
             sums = sums.withColumn("k", k).withColumn("new", F.greatest(F.lit(0.0), F.col("rz") - 2 * F.col("k") * F.col("rq") + F.col("k") * F.col("k") * F.col("qq")))
             sums = cut_lineage(sums, forget=True)
+            start = sums.select("context", F.col("rz").alias("rz0")) if start is None else start
             turn = F.when(F.col("rz") > 0, F.col("new") / F.col("rz")).otherwise(F.lit(0.0))
             rest = r - F.col("k") * q
-            state = mid.join(sums, "context").select("context", "item", "votes", "x", "g", (F.col("s") + F.col("k") * F.col("p")).alias("s"), rest.alias("r"), (rest / g + turn * F.col("p")).alias("p"))
-            was, now = sums.agg(F.max("rz"), F.max("new")).head()
-            start = start if start is not None else was
-            if not now or now < 1e-5 * start:
+            state = mid.join(F.broadcast(sums), "context").select("context", "item", "votes", "x", "g", (F.col("s") + F.col("k") * F.col("p")).alias("s"), rest.alias("r"), (rest / g + turn * F.col("p")).alias("p"))
+            # a Newton step needs its direction only as well as this; the worst context counts
+            left = sums.join(F.broadcast(start), "context").agg(F.max(F.when(F.col("rz0") > 0, F.col("new") / F.col("rz0")).otherwise(F.lit(0.0)))).head()[0]
+            if not left or left < 1e-6:
                 break
+        else:
+            raise RuntimeError("a Newton step is not settled")
         state = cut_lineage(state, forget=True)
         moved = state.agg(F.max(F.abs("s"))).head()[0] or 0.0
         damp = min(1.0, 2.0 / moved) if moved else 1.0
         items = cut_lineage(state.select("context", "item", "votes", (F.col("x") + damp * F.col("s")).alias("x"), "g"), forget=True)
-        if moved < 1e-4:  # the steps are of second order: what is left is far below
+        if moved < SETTLED:
             break
+    else:
+        raise RuntimeError("strengths are not settled")
     terms = [items.where(F.col("item") == n).select("context", F.col("x").alias(to)) for n, to in ((_FIRST, "first_term"), (_DRAW, "draw_term"))]
     found = items.where((F.col("item") != _FIRST) & (F.col("item") != _DRAW)).join(terms[0], "context").join(terms[1], "context")
     return found.select("context", "item", F.col("x").alias("strength"), (1 / F.sqrt("g")).alias("stderr"), "votes", "first_term", "draw_term")

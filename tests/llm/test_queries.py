@@ -18,3 +18,9 @@ def test_runs_with_the_given_columns(spark, data, name):
     if name in COLUMNS:
         assert df.dtypes == COLUMNS[name]
     assert df.count() == df.distinct().count() > 0
+
+
+def test_planted_terms_come_out(spark, data):
+    got = queries.QUERIES["p2_planted"](spark, data.replace("sf0.001", "sf0.01")).toPandas()
+    assert abs(got["first_term"].iloc[0] - queries.PLANTED_FIRST) < 0.15 and abs(got["draw_term"].iloc[0] - queries.PLANTED_DRAW) < 0.15
+    assert got[["strength", "planted"]].corr().iloc[0, 1] > 0.6

@@ -49,6 +49,36 @@ def test_spread_solver_agrees_with_the_local_one(spark, one_partition):
         assert r["rank"] == two[k]["rank"] and r["votes"] == two[k]["votes"]
 
 
+def planted(rng, items, m, first, draw):
+    """Comparisons drawn from the model itself: (context, winner, loser, weight, first, draw)."""
+    x = np.linspace(-1.5, 1.5, items)
+    a, b = rng.integers(0, items, m), rng.integers(0, items - 1, m)
+    b = b + (b >= a)
+    weights = np.exp(np.stack([(x[a] - x[b] + first) / 2, -(x[a] - x[b] + first) / 2, np.full(m, draw)], axis=1))
+    outcome = (rng.random(m)[:, None] > np.cumsum(weights / weights.sum(1, keepdims=True), axis=1)).sum(1)
+    name = [f"i{k:04}" for k in range(items)]
+    return [("c", name[p] if o != 1 else name[q], name[q] if o != 1 else name[p], 1.0, name[p], bool(o == 2)) for p, q, o in zip(a, b, outcome)]
+
+
+def test_draws_and_first_position_are_recovered(spark):
+    rows = planted(np.random.default_rng(5), 60, 12_000, 0.6, -0.4)
+    pairs = pair_counts(spark.createDataFrame(rows, COLS + ", first string, draw boolean"))
+    got = rank_items(pairs).toPandas().sort_values("item")
+    assert abs(got["first_term"].iloc[0] - 0.6) < 0.1 and abs(got["draw_term"].iloc[0] + 0.4) < 0.1
+    assert np.corrcoef(got["strength"], np.linspace(-1.5, 1.5, 60))[0, 1] > 0.98
+
+
+def test_spread_solver_agrees_on_many_pairs(spark, one_partition):
+    rows = planted(np.random.default_rng(6), 500, 14_000, 0.4, -0.2)
+    pairs = pair_counts(spark.createDataFrame(rows, COLS + ", first string, draw boolean")).cache()
+    assert pairs.count() > 10_000
+    one = rank_items(pairs).toPandas().sort_values("item")
+    two = rank_items(pairs, local_pairs=0).toPandas().sort_values("item")
+    for c in ("strength", "first_term", "draw_term", "stderr"):
+        assert np.abs(one[c].to_numpy() - two[c].to_numpy()).max() < 1e-6, c
+    assert (one["rank"].to_numpy() == two["rank"].to_numpy()).all()
+
+
 def test_gradient_vanishes_with_draws_and_first_position():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 5, 60), 5 + rng.integers(0, 5, 60)
