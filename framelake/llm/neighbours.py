@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.skew import lookup_join
 from framelake.session import cut_lineage
 
 TABLES = 8
@@ -478,7 +479,8 @@ def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: f
     tables and probes are those that meet ``FIT_RECALL`` of the true neighbours of a sample of ``FIT_QUERIES`` rows.
     """
     rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector), size)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("vector"))
-    rows = rows.withColumn("copy", F.xxhash64("vector"))
+    # two hashes, as with one alone some of very many vectors would pass for copies
+    rows = rows.withColumn("copy", F.concat(F.hex(F.xxhash64("vector")), F.lit("-"), F.hex(F.xxhash64("vector", F.lit(1)))))
     # at most k + 1 ids of a copy group go on; partial lists combine before the shuffle
     spread = rows.select("id", "copy", F.pmod("id", F.lit(64)).alias("salt"))
     few = spread.withColumn("r", F.row_number().over(Window.partitionBy("copy", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
@@ -513,10 +515,10 @@ def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: f
     first = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= k)
 
     # ids beyond the first k + 1 of a group of copies: each is at cosine 1 of those, the least k of them first
-    more = rows.select("id", "copy").join(sizes.where(F.col("n") > k + 1).select("copy"), "copy")
-    leads = few.join(sizes.where(F.col("n") > k + 1).select("copy"), "copy").where(F.col("r") <= k).select("copy", F.col("id").alias("b"), F.col("r").alias("rank"))
-    beyond = more.join(few.select("id"), "id", "left_anti")
-    rest = beyond.join(leads, "copy").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("cosine"), F.col("rank").cast("int").alias("rank"))
+    many = sizes.where(F.col("n") > k + 1)
+    leads = few.where(F.col("r") <= k).groupBy("copy").agg(F.collect_list(F.struct(F.col("id").alias("b"), F.col("r").alias("rank"))).alias("leads")).join(many, "copy")
+    beyond = rows.select("id", "copy").join(few.select("id"), "id", "left_anti")
+    rest = lookup_join(beyond, leads, "copy", "n").select(F.col("id").alias("a"), F.inline("leads")).select("a", "b", F.lit(1.0).alias("cosine"), F.col("rank").cast("int").alias("rank"))
     return first.unionByName(rest)
 
 

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from framelake.session import cut_lineage
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that cuts a text before the merges of these rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
 OPEN_BINS = 64
 TASK_TOKENS = 4_000_000
+#: A small item weighs this much when tasks are sized, so that a task's items are bounded too.
+LEAST_WEIGHT = 16
 
 _encoders: dict[int, object] = {}
 
@@ -32,7 +33,7 @@ def _encoder(raw: bytes):
     return _encoders[key]
 
 
-def token_counts(df: DataFrame, id_col: str, text: str, ranks: str = RANKS) -> DataFrame:
+def token_counts(df: DataFrame, id_col: str, text: str, ranks: str) -> DataFrame:
     """Rows (``id``, ``size``): tokens of every whole text; null and empty texts count 0.
 
     ``ranks`` is a rank file on the driver; its content (of fixed size, under 1 MB for 50k ranks) is sent along.
@@ -132,7 +133,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     pieces = cut_lineage(pieces)
     whole = pieces.where(F.col("size") == capacity).select("id", "part", "size", F.lit(0).cast("long").alias("round"), F.lit(0).cast("long").alias("task"), F.lit(None).cast("long").alias("bin"))
     now, packed = pieces.where(F.col("size") < capacity), []
-    total = now.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    total = now.agg(F.coalesce(F.sum(F.greatest(F.col("size"), F.lit(LEAST_WEIGHT))), F.lit(0))).head()[0]
     tasks, step = max(1, -(-total // task_tokens)), 1
     while True:
         last = tasks == 1

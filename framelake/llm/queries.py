@@ -97,8 +97,13 @@ def p4_subset(spark: SparkSession, root: str) -> DataFrame:
     return chosen.select(F.col("id").alias("sample_id"), "density", "weight")
 
 
+#: Where the rank files of public tokenizers lie, unless the session says otherwise in ``spark.framelake.tokenizers``.
+TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
+
+
 def _packed(spark: SparkSession, root: str) -> DataFrame:
-    return pack(cut_lineage(token_counts(spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")))
+    ranks = f"{spark.conf.get('spark.framelake.tokenizers', TOKENIZERS)}/{RANKS}"
+    return pack(cut_lineage(token_counts(spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", ranks)))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_packing(spark):
 
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "a line of text"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, "word " * 5000)], "id long, text string")
-    got = {r["id"]: r["size"] for r in token_counts(df, "id", "text").collect()}
+    got = {r["id"]: r["size"] for r in token_counts(df, "id", "text", "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
     assert got[1] == 4 and got[2] == got[3] == 0 and got[4] > 1 and got[5] >= 5000
 
 
