@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONG = 1000
+#: Buckets of each level are so many times as wide as those of the level before; an interval that reaches into more
+#: buckets than this goes to the next one. The last level has a single bucket.
+COARSER, LEVELS = 256, 3
 
 
 def overlap_join(left: DataFrame, right: DataFrame, entity: str, width: float) -> DataFrame:
     """Pairs of intervals of one entity with ``l_start < r_end`` and ``l_end > r_start``; touching ones don't match.
 
     ``left`` has ``entity``, ``l_start``, ``l_end``; ``right`` the same with ``r_``. Every interval is listed under
-    each bucket of ``width`` it reaches into; a pair is kept in the bucket in which the later of both starts. Null
-    or NaN bounds match nothing. Choose a width near the usual length of the intervals: those over ``LONG`` buckets
-    aren't listed but meet all intervals of their entity.
+    each bucket it reaches into, at the level where these are at most ``COARSER``, and at the coarser levels, where it
+    reaches into one or two. A pair meets at the coarser of both levels, in the bucket in which the later of both starts. Null
+    or NaN bounds match nothing. Choose a width near the usual length of the intervals.
     """
 
-    def fine(rows: DataFrame, a: str, z: str) -> DataFrame:
-        good = rows.where(F.col(a).isNotNull() & F.col(z).isNotNull() & ~F.isnan(a) & ~F.isnan(z) & (F.col(z) >= F.col(a)))
-        return good.withColumn("_long", (F.col(z) - F.col(a)) / width > LONG)
-
-    def listed(rows: DataFrame, a: str, z: str) -> DataFrame:
-        return rows.where("not _long").drop("_long").withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(z) / width))))
-
-    left, right = fine(left, "l_start", "l_end"), fine(right, "r_start", "r_end")
+    def wide(level: Column) -> Column:
+        return F.lit(float(width)) * F.pow(F.lit(float(COARSER)), level)
+
+    def listed(rows: DataFrame, side: str) -> DataFrame:
+        a, z = F.col(f"{side}_start"), F.col(f"{side}_end")
+        good = rows.where(a.isNotNull() & z.isNotNull() & ~F.isnan(a) & ~F.isnan(z) & (z >= a))
+        own, span = F.lit(LEVELS), (z - a) / F.lit(float(width))
+        for level in reversed(range(LEVELS)):
+            own = F.when(span <= F.lit(float(COARSER) ** (level + 1)), F.lit(level)).otherwise(own)
+        out = good.withColumn(f"_own_{side}", own).withColumn("_l", F.explode(F.sequence(F.col(f"_own_{side}"), F.lit(LEVELS))))
+        top = F.col("_l") == LEVELS
+        buckets = F.sequence(F.floor(a / wide(F.col("_l"))), F.floor(z / wide(F.col("_l"))))
+        return out.withColumn("_b", F.explode(F.when(top, F.array(F.lit(0).cast("long"))).otherwise(buckets)))
+
+    met = listed(left, "l").join(listed(right, "r"), [entity, "_l", "_b"])
+    later = F.floor(F.greatest("l_start", "r_start") / wide(F.col("_l")))
     meets = (F.col("l_start") < F.col("r_end")) & (F.col("l_end") > F.col("r_start"))
-    met = listed(left, "l_start", "l_end").join(listed(right, "r_start", "r_end"), [entity, "_b"]).where(meets)
-    met = met.where(F.col("_b") == F.floor(F.greatest("l_start", "r_start") / width)).drop("_b")
-    one = left.where("_long").drop("_long").join(right.drop("_long"), entity).where(meets)
-    two = left.where("not _long").drop("_long").join(right.where("_long").drop("_long"), entity).where(meets)
-    return met.unionByName(one).unionByName(two)
+    once = F.col("_l") == F.greatest("_own_l", "_own_r")
+    return met.where(meets & once & ((F.col("_l") == LEVELS) | (F.col("_b") == later))).drop("_l", "_b", "_own_l", "_own_r")
 
 
 def overlapping_point(rows: DataFrame, start: Column, end: Column, a: float, z: float) -> DataFrame:

@@ -14,7 +14,6 @@ from framelake.functions.vector import dot
 
 SIDE = 224
 CONTEXT = 77
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Fixed values of the picture encoder's normalisation, and of the text encoder's marks.
 MEAN = (0.48145466, 0.4578275, 0.40821073)
 STD = (0.26862954, 0.26130258, 0.27577711)
@@ -56,7 +55,7 @@ def picture_tensor(rgb: np.ndarray) -> np.ndarray:
     return ((x - np.array(MEAN, np.float32)) / np.array(STD, np.float32)).transpose(2, 0, 1)
 
 
-def text_tokens(rows: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def text_tokens(rows: DataFrame, id_col: str, text: str, vocabulary: str) -> DataFrame:
     """(``id``, ``tokens``): 77 ids of each text, start and end marks included, padded with 0; null counts as empty.
 
     The vocabulary file of the driver (under 2 MB) is sent along.

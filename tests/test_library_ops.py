@@ -255,7 +255,7 @@ def test_invalid_events(spark):
 
 
 def test_model_inputs(spark):
-    from framelake.sources.model_input import VOCABULARY, picture_tensor, prompt_signals, resize, text_tokens
+    from framelake.sources.model_input import picture_tensor, prompt_signals, resize, text_tokens
 
     grey = np.full((300, 448, 3), 77, np.uint8)
     assert (resize(grey, 224, 224) == 77).all() and picture_tensor(grey).shape == (3, 224, 224)
@@ -265,11 +265,11 @@ def test_model_inputs(spark):
     got = prompt_signals(df, "v", {"story": ([1.0, 0.0], [0.0, 1.0])}).orderBy("id").collect()
     assert got[0]["story_score"] > 0.99 and got[0]["story_confidence"] == 1.0 and (got[1]["story_score"], got[1]["story_confidence"]) == (0.5, 0.0)
     try:
-        open(VOCABULARY).close()
+        open("/opt/tokenizers/word_bpe_49k.json").close()
     except OSError:
         pytest.skip("no vocabulary here")
     texts = spark.createDataFrame([(1, "a rocket launching into  the sky"), (2, None), (3, "word " * 200)], "id int, t string")
-    t = {r["id"]: r["tokens"] for r in text_tokens(texts, "id", "t").collect()}
+    t = {r["id"]: r["tokens"] for r in text_tokens(texts, "id", "t", "/opt/tokenizers/word_bpe_49k.json").collect()}
     assert t[1][:9] == [49406, 320, 8383, 8565, 1095, 518, 2390, 49407, 0] and t[2][:3] == [49406, 49407, 0] and len(t[3]) == 77 and t[3][-1] == 49407
 
 
