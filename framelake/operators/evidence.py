@@ -7,7 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.preference import DEFAULT_CONTEXT, LEAST_SAMPLES_DEFAULT, LEAST_SAMPLES_NAMED, POOL_CAP, net_pairs, stride_sample, strongest_labels
+from framelake.functions.vector import difference
+from framelake.operators.preference import DEFAULT_CONTEXT, LEAST_SAMPLES_DEFAULT, LEAST_SAMPLES_NAMED, POOL_CAP, general_margin, net_pairs, stride_sample, strongest_labels
+
+#: The named features beside the vector that a profile may weigh, in their order.
+FEATURES = (
+    "sharpness exposure contrast color_harmony balance subject_placement negative_space visual_clarity technical_quality blur_control clipping_control noise_control "
+    "compression_quality resolution_quality motion_stability duplicate_confidence composition_quality hierarchy leading_lines symmetry crop_potential moment_story "
+    "expression gesture action novelty pacing repetition_risk"
+).split()
 
 
 @dataclass
@@ -61,3 +69,20 @@ def training_pairs(found: Evidence, cap: int = POOL_CAP) -> DataFrame:
     crossed = plus.join(minus, "context").select("context", "plus", "minus", F.least("lp", "lm").alias("weight"))
     every = crossed.unionByName(found.compared.select("context", "plus", "minus", F.lit(1.0).alias("weight"))).join(chosen, "context", "left_semi")
     return net_pairs(every, ["context"])
+
+
+def margins(pairs: DataFrame, media: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Pairs with ``x``, the differences of vector and named features of both sides, and their ``general_margin``.
+
+    ``media``: ``media``, ``vector``, ``overall`` and the ``features``, one row each; a feature that is null is neutral. Pairs with
+    an unknown side, or with vectors of two sizes, are left out.
+    """
+    names = FEATURES if features is None else features
+    held = media.select("media", "vector", "overall", F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.5)) for n in names]).alias("f"))
+
+    def side(name: str) -> DataFrame:
+        return held.select(F.col("media").alias(name), F.struct("vector", "f", "overall").alias(f"_{name}"))
+
+    met = pairs.join(side("plus"), "plus").join(side("minus"), "minus").where(F.size("_plus.vector") == F.size("_minus.vector"))
+    x = F.concat(difference(F.col("_plus.vector"), F.col("_minus.vector")), difference(F.col("_plus.f"), F.col("_minus.f")))
+    return met.withColumn("x", x).withColumn("general_margin", general_margin(F.col("_plus.overall"), F.col("_minus.overall"))).drop("_plus", "_minus")

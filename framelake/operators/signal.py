@@ -21,27 +21,29 @@ def content_delta(rows: DataFrame, entity: str, order: str, pixels: str) -> Data
 def find_cuts(times: np.ndarray, scores: np.ndarray, duration: float, threshold: float = THRESHOLD, least: float = LEAST_SCENE_S) -> list[int]:
     """Indices of frames that open a scene.
 
-    A run of scores at the threshold (kept alive by scores near it) gives one cut, at its first frame far enough
-    from the last cut. When a run of three or more samples that never rose ends after its cut, the frame
-    that ends it is a second one.
+    A run is a block of neighbouring scores near the threshold, from the first that reaches it. It gives one cut, at its first
+    frame at the threshold that is far enough from the last cut; the frame after a run of three or more that has a cut
+    and never rises is a second one. Only runs are looped over.
     """
-    cuts, last, run = [], 0.0, None  # run: samples, last score, falling, cut made
     eps = np.finfo(float).eps
-    for i, (t, s) in enumerate(zip(times.tolist(), scores.tolist())):
-        legal = t - last + eps >= least and t < duration
-        if s >= threshold or (run and s >= threshold * FLOOR_SHARE):
-            run = run or [0, s, True, False]
-            if run[0] and s > run[1] + eps:
-                run[2] = False
-            run[0], run[1] = run[0] + 1, s
-            if s >= threshold and not run[3] and legal:
-                cuts.append(i)
-                last, run[3] = t, True
-        else:
-            if run and run[3] and run[0] >= 3 and run[2] and legal:
-                cuts.append(i)
-                last = t
-            run = None
+    near = scores >= threshold * FLOOR_SHARE
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], near, [False]]).astype(np.int8)))
+    rises = np.concatenate([[False], np.diff(scores) > eps]) if len(scores) else near
+    cuts, last = [], 0.0
+
+    def legal(i: np.ndarray | int) -> np.ndarray:
+        return (times[i] - last + eps >= least) & (times[i] < duration)
+
+    for first, end in zip(edges[::2], edges[1::2]):
+        high = first + np.flatnonzero(scores[first:end] >= threshold)
+        good = high[legal(high)] if len(high) else high
+        if not len(good):
+            continue
+        cuts.append(int(good[0]))
+        last = times[good[0]]
+        if end < len(scores) and end - high[0] >= 3 and not rises[high[0] + 1 : end].any() and legal(end):
+            cuts.append(int(end))
+            last = times[end]
     return cuts
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions import strongshot as H
 from framelake.functions.text import loose_key, strip_blanks
 from framelake.operators import evidence as V
 from framelake.operators import imports as I
@@ -241,6 +242,20 @@ def evidence_pairs(spark: SparkSession, root: str) -> DataFrame:
     return V.training_pairs(_evidence(spark, root)).withColumn("weight", F.round("weight", 6))
 
 
+@query(SQL["evidence_pairs"].replace("select context, case when net > 0", ", tp as (select context, case when net > 0", 1).replace("round(abs(net), 6) as weight", "abs(net) as weight") + f"""),
+bs as (select {_KEYED} as media, z, overall, [{", ".join(f"abs(z[{i + 1}])" if i % 7 else "0.5" for i in range(len(V.FEATURES)))}] as f from w qualify row_number() over (partition by media_kind, media_id order by sample_id) = 1)
+select context, plus, minus, len(a.z) + len(a.f) as size, round(a.z[1] - b.z[1], 6) + 0::double as first, round(list_sum(a.f) - list_sum(b.f), 5) + 0::double as features, round(coalesce((a.overall - 0.5) * 0.16, 0.0) - coalesce((b.overall - 0.5) * 0.16, 0.0), 6) + 0::double as general_margin
+from tp join bs a on a.media = tp.plus join bs b on b.media = tp.minus""")
+def evidence_margins(spark: SparkSession, root: str) -> DataFrame:
+    """Margins of the training pairs; parts of the vectors stand in for the features, every seventh of which is missing."""
+    units = L.newest(lib._units(spark, root), ["media_kind", "media_id"], [F.col("sample_id")])
+    named = [(F.abs(F.element_at("unit", i + 1)) if i % 7 else F.lit(None).cast("double")).alias(n) for i, n in enumerate(V.FEATURES)]
+    media = units.select(loose_key(F.concat_ws(":", "media_kind", "media_id")).alias("media"), F.col("unit").alias("vector"), "overall", *named)
+    rows = V.margins(V.training_pairs(_evidence(spark, root)), media)
+    tail = F.aggregate(F.slice("x", 65, len(V.FEATURES)), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("context", "plus", "minus", F.size("x").cast("long").alias("size"), *[(v + F.lit(0.0)).alias(n) for n, v in (("first", F.round(F.element_at("x", 1), 6)), ("features", F.round(tail, 5)), ("general_margin", F.round("general_margin", 6)))])
+
+
 @query("""with p as (select distinct media_kind || ':' || media_id as media from samples where media_id is not null), n as (select media, row_number() over (order by media) - 1 as i, count(*) over () as n from p)
 select media from n where n <= 64 or i in (select cast(floor(j * n / 64.0) as bigint) from range(64) t(j))""")
 def stride_pool(spark: SparkSession, root: str) -> DataFrame:
@@ -523,6 +538,43 @@ def confident_texts(spark: SparkSession, root: str) -> DataFrame:
     return confident_segments(rows, 0.1).select("vec_id")
 
 
+# -- strong shots -----------------------------------------------------------------------------------------
+
+_PARTS = [*[n for n in H.TECHNICAL if n != "resolution_quality"], *H.COMPOSITION, "expression", "gesture", "story", "novelty", "semantic_action", "temporal_action", "duplicate_confidence", "repetition_risk"]
+
+
+def _part_sql(name: str) -> str:
+    return f"least(1.0, 4 * abs(cast(embedding[{_PARTS.index(name) + 1}] as double)))"
+
+
+def _step_sql(low: float, high: float, x: str) -> str:
+    t = f"greatest(0.0, least(1.0, (({x}) - {low}) / ({high} - {low})))"
+    return f"({t} * {t} * (3 - 2 * {t}))"
+
+
+def _weighed_sql(weights: dict[str, float]) -> str:
+    """Weighted mean with the timed parts left out of rows without a duration."""
+    value = {"resolution_quality": "res", "pacing": "pace", "action": "act"}
+    every = [(w, n, value.get(n) or _part_sql(n)) for n, w in weights.items()]
+    plain = [x for x in every if x[1] not in H.TIMED]
+    return f"case when dur is null then ({' + '.join(f'{w} * {v}' for w, _, v in plain)}) / {sum(w for w, _, _ in plain)} else ({' + '.join(f'{w} * {v}' for w, _, v in every)}) / {sum(w for w, _, _ in every)} end"
+
+
+@query(f"""with e as (select *, case when vec_id % 3 > 0 then vec_id % 40 * 1.0::double end as dur, {_step_sql(0.25, 3.0, "(vec_id % 4000) * 1080 / 1e6")} as res, (vec_id % 11) / 10.0::double as sure from embeddings),
+t1 as (select *, case when dur is null then 0.5 when dur <= 0 then 0.0 when dur < 0.6 then {_step_sql(0.15, 0.6, "dur")} when dur <= 8 then 1.0 else 1 - {_step_sql(8.0, 24.0, "dur")} * 0.55 end as pace,
+  case when dur is null then {_part_sql("semantic_action")} else ({_part_sql("semantic_action")} * least(1.0, sure) + {_part_sql("temporal_action")} * 0.65) / (least(1.0, sure) + 0.65) end as act from e),
+t2 as (select *, {_weighed_sql(H.TECHNICAL)} as tech, {_weighed_sql(H.COMPOSITION)} as comp, {_weighed_sql(H.MOMENT)} as mom from t1)
+select vec_id, round(tech, 6) as technical_quality, round(comp, 6) as composition_quality, round(mom, 6) as moment_story,
+  round(greatest(0.0, least(1.0, tech * 0.42 + comp * 0.40 + mom * 0.18 - 0.12 * greatest({_part_sql("duplicate_confidence")}, {_part_sql("repetition_risk")}))), 6) as overall,
+  round(greatest(0.0, least(1.0, 0.62 * {_step_sql(10000.0, 150000.0, "vec_id % 300 * 1000")} + 0.23 * least(1.0, sure) + 0.15 * case when dur is not null and vec_id % 2 = 0 then 0 else 1 end)), 6) as confidence from t2""")
+def strong_shots(spark: SparkSession, root: str) -> DataFrame:
+    """Judgments with the components of an embedding as component scores."""
+    part = {n: F.least(F.lit(1.0), 4 * F.abs(F.element_at("embedding", i + 1).cast("double"))) for i, n in enumerate(_PARTS)}
+    k = F.col("vec_id")
+    got = H.strong_shot(part, F.when(k % 3 > 0, (k % 40).cast("double")), k % 4000, F.lit(1080), k % 300 * 1000, (k % 11) / 10.0, k % 2 == 1)
+    return table(spark, root, "embeddings").select("vec_id", *[F.round(got[n], 6).alias(n) for n in ("technical_quality", "composition_quality", "moment_story", "overall", "confidence")])
+
+
 # -- times and crops --------------------------------------------------------------------------------------
 
 _PROBED = f"{lib._TIMED}, s as (select iv.segment_id, a, z, duration, {lib._RATE} as rate, try_cast(split_part(resolution, 'x', 1) as bigint) as w, z - a + case when usable = 1 then 0.02 else 1.5 end as probed from iv join source_clips c on c.clip_id = iv.clip)"

@@ -136,3 +136,24 @@ def test_instants_and_keys(spark):
     assert spark.range(1).select(I.slug(F.lit(" Quiet  Coast! 4K "))).head()[0] == "quiet-coast-4k"
     with pytest.raises(ValueError):
         I.ledger_row(spark.range(1).withColumn("outcome", F.lit("new")), "maybe")
+
+
+def test_strong_shot_of_photos_and_shots(spark):
+    from framelake.functions import strongshot as H
+
+    names = [*[n for n in H.TECHNICAL if n != "resolution_quality"], *H.COMPOSITION, "expression", "gesture", "story", "novelty", "semantic_action", "temporal_action", "duplicate_confidence", "repetition_risk"]
+    cells = [(1, 1.0, None, True), (2, 1.0, 4.0, True), (3, None, 4.0, None), (4, float("nan"), None, None)]
+    df = spark.createDataFrame(cells, "id int, c double, d double, n boolean")
+    part = {n: (F.col("c") if n not in ("duplicate_confidence", "repetition_risk") else F.lit(0.0)) for n in names}
+    got = H.strong_shot(part, F.col("d"), F.lit(2000), F.lit(2000), F.lit(200_000), F.lit(1.0), F.col("n"))
+    out = {r[0]: r for r in df.select("id", *[v.alias(k) for k, v in got.items()]).collect()}
+    assert out[1]["overall"] == pytest.approx(1.0) and out[1]["pacing"] == 0.5 and out[1]["confidence"] == pytest.approx(1.0)
+    assert out[2]["overall"] == pytest.approx(1.0) and out[2]["pacing"] == 1.0
+    assert out[3]["confidence"] == pytest.approx(0.85) and out[3]["composition_quality"] == out[4]["composition_quality"] == pytest.approx(0.5)
+
+
+def test_margins_need_both_sides(spark):
+    media = spark.createDataFrame([("a", [1.0, 2.0], 0.75, 0.9), ("b", [0.0, 1.0], None, None), ("c", [1.0], 0.5, 0.5)], "media string, vector array<double>, overall double, f1 double")
+    pairs = spark.createDataFrame([("x", "a", "b", 1.0), ("x", "a", "c", 1.0), ("x", "a", "gone", 1.0), ("x", None, "a", 1.0)], "context string, plus string, minus string, weight double")
+    (r,) = V.margins(pairs, media, ["f1"]).collect()
+    assert r["x"] == pytest.approx([1.0, 1.0, 0.4]) and r["general_margin"] == pytest.approx(0.04) and len(V.FEATURES) == 28

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,3 +87,27 @@ def test_whole_table_has_a_small_vocabulary(spark, data, column):
 
     got = p1_found(spark, data).where(f"field = '{column}'").select("value").distinct().count()
     assert 0 < got < 200
+
+
+def test_plain_cells_of_the_whole_table(spark, data):
+    """Cells without quotes, lists, escapes, slashes and middle dots, against a plain split."""
+    from framelake.plans.core_data import PACKED_FIELDS, p1_found
+
+    got = {}
+    for r in p1_found(spark, data).collect():
+        got.setdefault((r["segment_id"], r["field"]), {})[r["pos"]] = r["value"]
+    rows = spark.read.parquet(f"{data}/segments.parquet").select("segment_id", "imported_at", *PACKED_FIELDS).orderBy("imported_at").collect()
+    newest, checked, edge = {r["segment_id"]: r for r in rows}, 0, r"[\s\x85\xa0\u200b-\u200d\u2060\u3000\ufeff]+"
+    for key, r in newest.items():
+        for f in PACKED_FIELDS:
+            if r[f] is not None and not re.search(r"[\"'“”«»‘’\[\]\\/·]", r[f]):
+                parts = [re.sub(f"^{edge}|{edge}$", "", x) for x in re.split("[,;|\n\r\t；、，]", r[f])]
+                assert got.get((key, f), {}) == {i: x for i, x in enumerate(filter(None, parts), 1)}, r[f]
+                checked += 1
+    assert checked > 500 and all(sorted(v) == list(range(1, len(v) + 1)) for v in got.values())
+
+
+def test_long_skeleton_that_many_cells_share(spark):
+    long = "; ".join(["a"] * 400)
+    got = found(spark, [long.replace("a", x) for x in "bcdefg"] * 50 + ["x"])
+    assert all([v for _, v in g] == [x] * 400 for g, x in zip(got, "bcdefg" * 50)) and got[-1] == [(1, "x")]
