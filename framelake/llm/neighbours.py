@@ -244,7 +244,9 @@ def _collect(group: list[str], work):
 
 
 def _runs(rows: DataFrame, group: list[str], work, schema: str) -> DataFrame:
-    placed = rows.repartition(*group).sortWithinPartitions(*group)
+    # by a hash: a repartition by the very columns of a join beneath is left out as redundant, and the adaptive planner
+    # may then read that join's shuffle by mappers or split it, which parts the rows of a group
+    placed = rows.repartition(F.xxhash64(*group)).sortWithinPartitions(*group)
     return placed.mapInPandas(_collect(group, work), schema)
 
 
@@ -501,14 +503,15 @@ def nearest(df: DataFrame, id_col: str, vector: str, size: int, k: int, least: f
         rough = least - SLACK
         counts = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
         big = cut_lineage(counts.where(F.col("n") > bucket_rows))
-        # at most rows / bucket_rows buckets are crowded; the joins are shuffled, their large side split by the adaptive planner
-        usual = hashed.join(big.select("bucket"), "bucket", "left_anti")
+        # broadcast: there are only tables x (2 x width) ^ hashes buckets in all, 131,072 as registered
+        dense = not big.isEmpty()
+        usual = hashed.join(F.broadcast(big.select("bucket")), "bucket", "left_anti") if dense else hashed
         if rough > -1:
             usual = _runs(usual, ["bucket"], lambda b, bounds: _meeting(b, bounds, rough), ALIVE)
         full = kept.select("id", "vector")
         found = _runs(usual.select("bucket", "id", "stored").join(full, "id"), ["bucket"], exact, CANDIDATES)
-        if not big.isEmpty():
-            crowded = hashed.select("bucket", "id", "stored").join(big.select("bucket"), "bucket", "left_semi").join(full, "id")
+        if dense:
+            crowded = hashed.select("bucket", "id", "stored").join(F.broadcast(big.select("bucket")), "bucket", "left_semi").join(full, "id")
             found = found.unionByName(_grid(crowded, big, ["bucket"], exact, bucket_rows))
     met = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     order = [F.desc(F.round("cosine", 12)), F.col("b")]

@@ -61,6 +61,21 @@ def test_crowded_buckets_lose_little(spark):
         assert recall > 0.95, (limit, recall)
 
 
+def test_crowded_bucket_beside_usual_ones(spark):
+    # crowded buckets are few, so their join is broadcast; the rows of every other bucket must still meet in one task
+    rng = np.random.default_rng(21)
+    x = np.concatenate([groups(rng, 1, 900, 0.12), groups(rng, 200, 4, 0.1)])
+    want = {tuple(sorted((i, j))) for i, js in brute(x.astype(float), 10, 0.95).items() for j in js}
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks, as on large tables
+    try:
+        got = {tuple(r) for r in similar_pairs(nearest(table(spark, x).repartition(4), "id", "v", 64, 10, 0.95, bucket_rows=300)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    usual = {p for p in want if p[0] >= 900}
+    assert len(usual) == 1200 and usual <= got and len(got & want) >= 0.99 * len(want)
+
+
 def test_empty(spark):
     assert nearest(table(spark, np.zeros((0, 64))), "id", "v", 64, 10, 0.95).count() == 0
     assert densities(table(spark, np.zeros((0, 64))), "id", "v", 64).count() == 0
